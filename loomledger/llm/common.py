@@ -11,35 +11,30 @@ Conventions that hold for every operator here:
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words are runs of anything but ASCII white space.
-WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-WORD = re.compile(WORD_PATTERN)
-#: Lower-casing touches A-Z only, so that it means the same in every engine.
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-ASCII_LOWER = str.maketrans(UPPER, LOWER)
-
+from ..shipping import ship
 
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id long, text string`` of the rows that have an id; a null text becomes empty."""
+    ship(df.sparkSession)
     return df.select(
         df[id_col].cast("long").alias("doc_id"),
         F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"),
     ).where(F.col("doc_id").isNotNull())
 
 
-def words_of(text: str) -> list[str]:
-    return WORD.findall(text)
+def lower_words(text: str) -> list[bytes]:
+    """Runs of anything but ASCII white space, in UTF-8, with A-Z (and nothing else) lower-cased."""
+    return text.encode("utf-8").lower().split()
 
 
 def words_column(text: Column) -> Column:
-    """The same words as :func:`words_of`, as an array column."""
+    """Runs of anything but ASCII white space, as an array column."""
     return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != F.lit(""))
 
 
@@ -52,6 +47,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        ship(spark)
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
             master = spark.conf.get("spark.master", "")

@@ -3,8 +3,8 @@
 Documents longer than a sequence are cut into full pieces with the remainder first; every other
 document stays whole.  Pieces are dealt evenly to shards by hash and each shard packs its own: a
 piece goes where it makes the sum, over residual gaps, of the squared number of open bins with that
-gap smallest, which keeps every gap useful for what is still to come.  Larger pieces go first.  What
-a shard leaves half open is packed once more across shards.  The state is one counter per gap.
+gap smallest, which keeps every gap useful for what is still to come.  Larger pieces go first, and a
+sequence is opened only when no open one has room.  What a shard leaves half open is packed once more across shards.  The state is one counter per gap.
 
 Edge cases: a null or empty text is the end id alone; repeated documents are packed again; pieces
 of exactly ``capacity`` fill a sequence by themselves; an empty table gives no sequences.
@@ -56,22 +56,13 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     bins, offsets, n_bins = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64), 0
     for k, size in enumerate(lengths.tolist()):
         # Change of the sum when a bin's gap shrinks from g to g - size; gap 0 is closed and not counted.
-        new = 2 * count[capacity - size] + 1 if size < capacity else 0
+        # A new sequence is opened only when no open one has room: pieces come largest first.
         best = capacity
         if size < capacity:
-            if count[size]:
-                change0, gap0 = 1 - 2 * count[size], size
-            else:
-                change0, gap0 = new + 1, capacity
-            change = 2 * (count[1 : capacity - size] - count[size + 1 : capacity]) + 2
-            open_ = count[size + 1 : capacity] > 0
-            if open_.any():
-                change = np.where(open_, change, np.iinfo(np.int64).max)
-                at = int(change.argmin())
-                if change[at] < change0:
-                    change0, gap0 = change[at], size + 1 + at
-            if change0 <= new:
-                best = gap0
+            gaps = np.flatnonzero(count[size:capacity]) + size
+            if len(gaps):
+                change = 2 * (np.where(gaps > size, count[gaps - size] + 1, 0) - count[gaps])
+                best = int(gaps[change.argmin()])
         if best == capacity:
             bin_, used = n_bins, 0
             n_bins += 1

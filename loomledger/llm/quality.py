@@ -1,7 +1,8 @@
 """Line-first quality cleaning, in DataFrame expressions only.
 
-Each line is judged by itself; failing lines go, and a document that loses too much of its text, or
-fails the whole-document base rules, is rejected.
+Each line is judged by itself; failing lines go, and a document that loses too much of its text to
+the first three line rules, or fails the whole-document base rules, is rejected.  Boilerplate lines
+go too, but a page is not held responsible for its licence line.
 
 Base rules (on the text as given): at least ``min_words`` words, and at most ``max_repeat_pct`` % of
 the words inside 5-word windows that occur twice or more.
@@ -13,13 +14,14 @@ Line rules, for lines that have a word:
 * symbols: more than one of ``#*$%&<>`` for every four words, or mostly upper-case with ``!!`` marks;
 * boilerplate: one of the fixed phrases below in a line of at most ``boilerplate_words`` words.
 
-Edge cases: null and empty texts have no words, so they fail the base; a document whose lines all
-fail keeps an empty text and is rejected; very long texts cost n log n, never n squared.
+Edge cases: null and empty texts have no words, so they fail the base; a document of which
+no text is left is rejected; very long texts cost n log n, never n squared.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,7 +62,7 @@ class QualityRules:
     window: int = 5
     short_line: int = 6
     boilerplate_words: int = 25
-    max_lost_pct: int = 50
+    max_lost_pct: int = 60
 
 
 def _count(text: Column, chars: str) -> Column:
@@ -96,25 +98,25 @@ def repeated_words(words: Column, window: int) -> Column:
     return _let(F.transform(words, lambda w: F.xxhash64(w)), hashed)
 
 
-def line_ok(line: Column, rules: QualityRules = QualityRules()) -> Column:
-    """The line rules; lines without a word pass."""
+def line_fails(line: Column, rules: QualityRules = QualityRules()) -> Column:
+    """Punctuation, navigation and symbol rules; lines without a word pass."""
     n = F.size(words_column(line))
     symbols, separators = _count(line, SYMBOLS), _count(line, SEPARATORS)
     letters = F.length(F.regexp_replace(line, r"[^\p{L}]", ""))
     upper = F.length(F.regexp_replace(line, r"[^\p{Lu}]", ""))
-    low = F.lower(line)
-    phrase = None
-    for p in BOILERPLATE:
-        phrase = low.contains(p) if phrase is None else phrase | low.contains(p)
     fails = (
         ((n < rules.short_line) & ~line.rlike(TERMINAL))
         | (separators >= 3) & (separators * 12 >= n)
         | (separators * 3 >= n)
         | (symbols * 4 > n)
         | (line.contains("!!") & (upper * 2 > letters))
-        | ((n <= rules.boilerplate_words) & phrase)
     )
-    return (n == 0) | ~fails
+    return (n > 0) & fails
+
+
+def is_boilerplate(line: Column, rules: QualityRules = QualityRules()) -> Column:
+    low, n = F.lower(line), F.size(words_column(line))
+    return (n <= rules.boilerplate_words) & reduce(lambda a, b: a | b, (low.contains(p) for p in BOILERPLATE))
 
 
 def clean(docs: DataFrame, rules: QualityRules = QualityRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -130,11 +132,11 @@ def clean(docs: DataFrame, rules: QualityRules = QualityRules(), id_col: str = "
             "n_symbols": _count(F.col("text"), "#*$%&|<>").cast("long"),
             "n_dup_lines": _let(with_word, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
             "n_repeat_words": repeated_words(words, rules.window).cast("long"),
-            "clean_text": F.array_join(F.filter(lines, lambda x: line_ok(x, rules)), "\n"),
+            "clean_text": F.array_join(F.filter(lines, lambda x: ~line_fails(x, rules) & ~is_boilerplate(x, rules)), "\n"),
+            "lost_chars": F.length(F.array_join(F.filter(lines, lambda x: line_fails(x, rules)), "\n")).cast("long"),
         }
     )
     failed = (F.col("n_words") < rules.min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * rules.max_repeat_pct)
-    lost = F.length("text") - F.length("clean_text")
     return out.withColumn("base_failed", failed).withColumn(
-        "kept", ~failed & (lost * 100 <= F.length("text") * rules.max_lost_pct) & (F.length(F.trim("clean_text")) > 0)
+        "kept", ~failed & (F.col("lost_chars") * 100 <= F.length("text") * rules.max_lost_pct) & (F.length(F.trim("clean_text")) > 0)
     )
