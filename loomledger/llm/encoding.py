@@ -10,6 +10,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterable
+from functools import lru_cache
 
 import numpy as np
 
@@ -23,7 +24,7 @@ class ChunkEncoder:
     Ids are returned as little-endian uint16 bytes, or uint32 where the vocabulary needs it.
     """
 
-    def __init__(self, path: str, keeps_space: bool, cache_size: int = 500_000):
+    def __init__(self, path: str, keeps_space: bool, cache_size: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -104,6 +105,12 @@ class ChunkEncoder:
                 yield line_end.join([first[head] + b"".join(map(later, tail)) for head, tail in lines])
 
 
+@lru_cache(maxsize=2)
+def shared_encoder(path: str, keeps_space: bool) -> ChunkEncoder:
+    """One encoder per worker process, so that its cache outlives a task."""
+    return ChunkEncoder(path, keeps_space)
+
+
 def ids_crc32(ids: np.ndarray) -> int:
     """Unsigned CRC-32 of ids as little-endian unsigned 32-bit integers."""
     return zlib.crc32(ids.astype("<u4").tobytes())

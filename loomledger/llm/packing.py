@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace, texts
-from .encoding import ChunkEncoder, ids_crc32
+from .encoding import ids_crc32, shared_encoder
 
 PIECES_PER_SHARD = 60_000
 
@@ -35,7 +35,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, keeps_space: bool = True) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer_path, keeps_space)
+        encoder = shared_encoder(tokenizer_path, keeps_space)
         end = np.array([end_id], encoder.dtype).tobytes()
         for batch in batches:
             rows = []

@@ -17,15 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import texts
-from .encoding import ChunkEncoder
+from .common import Workspace, texts
+from .encoding import shared_encoder
 
 RANGE = 1024
 
 
 def encoded_lengths(docs: DataFrame, tokenizer_path: str, keeps_space: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer_path, keeps_space)
+        encoder = shared_encoder(tokenizer_path, keeps_space)
         for batch in batches:
             n = [len(x) // encoder.dtype.itemsize for x in encoder.encode(batch.column(1).to_pylist())]
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
@@ -38,7 +38,9 @@ def length_table(lengths: DataFrame) -> DataFrame:
 
     ``tokens_truncated`` is what is left of the corpus when every document is cut at this length.
     """
-    hist = lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs")).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
+    hist = lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
+    hist = Workspace(lengths.sparkSession).table(hist, "histogram")  # both levels read it
+    hist = hist.withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     hist = hist.withColumn("range", F.floor(F.col("n_tokens") / RANGE).cast("long"))
     after = Window.orderBy(F.col("range").desc()).rowsBetween(Window.unboundedPreceding, -1)
     ranges = hist.groupBy("range").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace, texts
-from .encoding import ChunkEncoder, ids_crc32
+from .encoding import ids_crc32, shared_encoder
 
 MAX_BITS = 16
 BLOCK_TOKENS = 1 << 17
@@ -111,7 +111,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, keeps_space: boo
     """``doc_id, n_tokens, ids``: ids of the text and the end id, as little-endian bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer_path, keeps_space)
+        encoder = shared_encoder(tokenizer_path, keeps_space)
         end = np.array([end_id], encoder.dtype).tobytes()
         for batch in batches:
             ids = [x + end for x in encoder.encode(batch.column(1).to_pylist())]
