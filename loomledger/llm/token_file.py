@@ -25,7 +25,7 @@ from .encoding import ids_crc32, shared_encoder
 
 MAX_BITS = 16
 BLOCK_TOKENS = 1 << 17
-CHECKPOINT = 4096
+CHECKPOINT = 128
 BLOCK_SCHEMA = "part int, block int, first_token long, n_tokens long, doc_ids binary, doc_tokens binary, checkpoints binary, code_lengths binary, payload binary"
 
 
@@ -72,16 +72,18 @@ def canonical_codes(lengths: np.ndarray) -> np.ndarray:
 def encode_bits(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray]:
     """The bit string of ids, and the bit offset of every ``CHECKPOINT``-th id."""
     widths = lengths[ids].astype(np.int64)
-    starts = np.cumsum(widths) - widths
-    total = int(widths.sum())
-    bits = np.zeros(total, np.uint8)
-    values = codes[ids]
-    for k in range(MAX_BITS):  # the k-th bit of each code that has one
-        has = np.flatnonzero(widths > k)
-        if not len(has):
-            break
-        bits[starts[has] + k] = (values[has] >> (widths[has] - 1 - k).astype(np.uint32)) & 1
-    return np.packbits(bits).tobytes(), starts[::CHECKPOINT].astype("<i8")
+    ends = np.cumsum(widths)
+    starts = ends - widths
+    total = int(ends[-1]) if len(ends) else 0
+    # Each code lies in the 64 bits from a 32-bit boundary on; codes of one boundary do not overlap, so they add up.
+    word = starts >> 5
+    window = codes[ids].astype(np.uint64) << (64 - widths - (starts & 31)).astype(np.uint64)
+    words = np.zeros(total // 32 + 2, np.uint64)
+    if len(ids):
+        first = np.concatenate([[0], np.flatnonzero(np.diff(word)) + 1])
+        words[word[first]] += np.add.reduceat(window >> np.uint64(32), first)
+        words[word[first] + 1] += np.add.reduceat(window & np.uint64(0xFFFFFFFF), first)
+    return words.astype(">u4").tobytes()[: (total + 7) // 8], starts[::CHECKPOINT].astype("<i8")
 
 
 def decode_bits(payload: bytes, checkpoints: np.ndarray, n: int, lengths: np.ndarray) -> np.ndarray:
@@ -97,14 +99,14 @@ def decode_bits(payload: bytes, checkpoints: np.ndarray, n: int, lengths: np.nda
     data = np.frombuffer(payload + b"\0\0\0\0", np.uint8).astype(np.uint32)
     words = (data[:-2] << 16) | (data[1:-1] << 8) | data[2:]
     at = checkpoints.astype(np.int64).copy()
-    out = np.zeros((len(at), CHECKPOINT), np.uint32)
+    out = np.zeros((CHECKPOINT, len(at)), np.uint32)
     size = len(words) - 1
     for k in range(min(CHECKPOINT, n)):
         window = (words[np.minimum(at >> 3, size)] >> (8 - (at & 7)).astype(np.uint32)) & 0xFFFF
         got = table[window]
-        out[:, k] = got
+        out[k] = got
         at += lengths[got]
-    return out.reshape(-1)[:n]
+    return out.T.reshape(-1)[:n]
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, keeps_space: bool) -> DataFrame:
