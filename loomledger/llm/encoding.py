@@ -14,7 +14,6 @@ from functools import lru_cache
 
 import numpy as np
 
-_IRREGULAR = re.compile(r"\s\s|\A\s|\s\Z")
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -40,30 +39,27 @@ class ChunkEncoder:
         self.separator = "\n" if keeps_space else " ~ "
         (self.separator_id,) = self._batch([self.separator.strip(" ")])[0].ids
 
-    def _learn(self, known: dict[str, bytes], chunks: set[str], lead: str) -> None:
-        old = self.older[lead]
-        new = []
-        for c in chunks - known.keys():
-            if (ids := old.get(c)) is None:
-                new.append(c)
-            else:
-                known[c] = ids
-        # A line end is a token of its own, so many chunks go through the library as lines of one text.
-        plain = [c for c in new if c and "\n" not in c and not (c[0].isspace() or c[-1].isspace())]
-        if len(plain) < len(new):
-            rest = list(set(new).difference(plain))
+    def _learn(self, known: dict[str, bytes], chunks: set[str], lead: str, odd: bool = False) -> None:
+        """``odd``: chunks may be empty, hold line ends or have white space at their ends."""
+        new, old = chunks - known.keys(), self.older[lead]
+        if moved := new & old.keys():
+            known.update(zip(moved, map(old.__getitem__, moved)))
+            new -= moved
+        if odd:
+            rest = [c for c in new if not c or "\n" in c or c[0].isspace() or c[-1].isspace()]
             known.update((c, self._pack(e.ids)) for c, e in zip(rest, self._batch([lead + c for c in rest])))
+            new.difference_update(rest)
+        # A line end is a token of its own, so many chunks go through the library as lines of one text.
+        plain, between, width = list(new), self.separator + lead, self.dtype.itemsize
         for at in range(0, len(plain), 512):
             part = plain[at : at + 512]
-            ids = self._pack(self._batch([self.separator.join([lead + c for c in part])])[0].ids)
-            cuts = np.flatnonzero(np.frombuffer(ids, self.dtype) == self.separator_id) * self.dtype.itemsize
+            ids = self._pack(self._batch([lead + between.join(part)])[0].ids)
+            cuts = np.flatnonzero(np.frombuffer(ids, self.dtype) == self.separator_id) * width
             if len(cuts) != len(part) - 1:  # a chunk that makes the separator's own token
                 known.update((c, self._pack(e.ids)) for c, e in zip(part, self._batch([lead + c for c in part])))
                 continue
-            begin = 0
-            for c, end in zip(part, [*cuts.tolist(), len(ids)]):
-                known[c] = ids[begin:end]
-                begin = end + self.dtype.itemsize
+            starts = [0, *(cuts + width).tolist()]
+            known.update(zip(part, [ids[i:j] for i, j in zip(starts, [*cuts.tolist(), len(ids)])]))
 
     def _batch(self, texts: list[str]):
         return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -80,13 +76,13 @@ class ChunkEncoder:
                 self.older[self.lead], self.later = self.later, {}
             if len(self.first) > self.cache_size:
                 self.older[""], self.first = self.first, {}
-            cut, heads = [], []
+            cut, heads, odd = [], [], []
             for text in texts[at : at + group]:
                 if not self.keeps_space:
                     cut.append(text.replace("\n", " ").split(" "))
-                elif _IRREGULAR.search(text):
+                elif " ".join(text.split()) != text.replace("\n", " "):  # white space other than single blanks and line ends
                     head, *tail = _SINGLE_SPACE.split(text)
-                    heads.append(head)
+                    odd.append((head, tail))
                     cut.append([(head, tail)])
                 else:
                     lines = [(line[0], line[1:]) for line in (x.split(" ") for x in text.split("\n"))]
@@ -98,8 +94,11 @@ class ChunkEncoder:
                 for chunks in cut:
                     yield b"".join(map(known, chunks))
                 continue
-            self._learn(self.first, set(heads), "")
+            self._learn(self.first, {head for head, _ in odd}, "", odd=True)
+            self._learn(self.later, set().union(*(tail for _, tail in odd)), " ", odd=True)
+            self._learn(self.first, set(heads) - {""}, "")
             self._learn(self.later, set().union(*(tail for lines in cut for _, tail in lines)), " ")
+            self.first[""] = b""
             first, later = self.first, self.later.__getitem__
             for lines in cut:
                 yield line_end.join([first[head] + b"".join(map(later, tail)) for head, tail in lines])
