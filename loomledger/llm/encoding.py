@@ -41,10 +41,10 @@ class ChunkEncoder:
 
     def _learn(self, known: dict[str, bytes], chunks: set[str], lead: str, odd: bool = False) -> None:
         """``odd``: chunks may be empty, hold line ends or have white space at their ends."""
-        new, old = chunks - known.keys(), self.older[lead]
-        if moved := new & old.keys():
+        new, old = chunks.difference(known), self.older[lead]
+        if old and (moved := [c for c in new if c in old]):
             known.update(zip(moved, map(old.__getitem__, moved)))
-            new -= moved
+            new.difference_update(moved)
         if odd:
             rest = [c for c in new if not c or "\n" in c or c[0].isspace() or c[-1].isspace()]
             known.update((c, self._pack(e.ids)) for c, e in zip(rest, self._batch([lead + c for c in rest])))
