@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -86,16 +87,22 @@ def encode_bits(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tupl
     return words.astype(">u4").tobytes()[: (total + 7) // 8], starts[::CHECKPOINT].astype("<i8")
 
 
-def decode_bits(payload: bytes, checkpoints: np.ndarray, n: int, lengths: np.ndarray) -> np.ndarray:
-    """Table-driven decoding: all stretches between checkpoints advance together, an id a step."""
-    codes = canonical_codes(lengths)
+@lru_cache(maxsize=2)
+def decoding_table(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The id that each run of ``MAX_BITS`` bits begins with, and the code lengths, from the lengths as stored."""
+    lengths = np.frombuffer(zlib.decompress(packed), np.uint8)
     symbols = np.flatnonzero(lengths)
     table = np.zeros(1 << MAX_BITS, np.uint32)
     shift = MAX_BITS - lengths[symbols].astype(np.int64)
-    first = codes[symbols].astype(np.int64) << shift
-    order = np.argsort(first)
+    order = np.argsort(canonical_codes(lengths)[symbols].astype(np.int64) << shift)
     filled = np.repeat(symbols[order], 1 << shift[order])
     table[: len(filled)] = filled
+    return table, lengths.astype(np.int64)
+
+
+def decode_bits(payload: bytes, checkpoints: np.ndarray, n: int, packed_lengths: bytes) -> np.ndarray:
+    """Table-driven decoding: all stretches between checkpoints advance together, an id a step."""
+    table, lengths = decoding_table(packed_lengths)
     data = np.frombuffer(payload + b"\0\0\0\0", np.uint8).astype(np.uint32)
     words = (data[:-2] << 16) | (data[1:-1] << 8) | data[2:]
     at = checkpoints.astype(np.int64).copy()
@@ -153,7 +160,7 @@ def write_token_file(spark: SparkSession, docs: DataFrame, path: str, tokenizer_
     ordered = tokens.repartitionByRange(n_parts, "doc_id").sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id())
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = lengths.tobytes()
+        known = zlib.compress(lengths.tobytes())
         held: list[tuple[int, bytes]] = []
         size = block = first = part = 0
 
@@ -161,7 +168,7 @@ def write_token_file(spark: SparkSession, docs: DataFrame, path: str, tokenizer_
             ids = np.frombuffer(b"".join(x for _, x in held), dtype)
             payload, marks = encode_bits(ids, codes, lengths)
             per_doc = np.array([len(x) // width for _, x in held], "<i8")
-            row = [part, block, first, len(ids), np.array([d for d, _ in held], "<i8").tobytes(), per_doc.tobytes(), marks.tobytes(), zlib.compress(known), payload]
+            row = [part, block, first, len(ids), np.array([d for d, _ in held], "<i8").tobytes(), per_doc.tobytes(), marks.tobytes(), known, payload]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64()] + [pa.binary()] * 5
             return pa.record_batch([pa.array([v], k) for v, k in zip(row, kinds)], [c.split()[0] for c in BLOCK_SCHEMA.split(", ")])
 
@@ -191,8 +198,7 @@ def read_token_file(spark: SparkSession, path: str, with_ids: bool = False) -> D
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                lengths = np.frombuffer(zlib.decompress(r["code_lengths"]), np.uint8)
-                ids = decode_bits(r["payload"], np.frombuffer(r["checkpoints"], "<i8"), r["n_tokens"], lengths)
+                ids = decode_bits(r["payload"], np.frombuffer(r["checkpoints"], "<i8"), r["n_tokens"], r["code_lengths"])
                 docs, sizes = np.frombuffer(r["doc_ids"], "<i8"), np.frombuffer(r["doc_tokens"], "<i8")
                 ends = np.cumsum(sizes)
                 each = np.split(ids, ends[:-1])
