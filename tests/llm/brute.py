@@ -83,3 +83,15 @@ def captures(pages):
     for p in sorted(data):
         first.setdefault(digest[p], p)
     return {p: (len(b), digest[p], *(("revisit", first[digest[p]]) if len(b) >= 100 and first[digest[p]] != p else ("response", None))) for p, b in data.items()}
+
+
+def first_fit_decreasing(lengths, capacity):
+    """What each bin holds."""
+    bins = []
+    for n in sorted(lengths, reverse=True):
+        k = next((k for k, used in enumerate(bins) if used + n <= capacity), None)
+        if k is None:
+            bins.append(n)
+        else:
+            bins[k] += n
+    return bins
