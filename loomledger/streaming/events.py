@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-TRACE = StructType.fromDDL("trace_id string, query string, start_time timestamp, duration_ms double, status string, error_message string, user_id string, session_id string, channel string, metrics struct<cost:double,total_tokens:long>")
+TRACE = "trace_id string, query string, start_time timestamp, duration_ms double, status string, error_message string, user_id string, session_id string, channel string, metrics struct<cost:double,total_tokens:long>"
 
 
 def traces(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
