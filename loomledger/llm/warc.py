@@ -3,7 +3,7 @@
 A capture is three records: request, response (or revisit, when an earlier page holds the same
 payload) and metadata; request and metadata name the response in ``WARC-Concurrent-To``.  Records
 are text, so Spark's text writer with the record separator as its line separator writes valid
-uncompressed WARC/1.1 files to any store; ``binaryFile`` reads them back.
+WARC/1.1 files, each gzipped, to any store; ``binaryFile`` reads them back.
 
 Of pages with equal payloads of at least ``min_revisit_bytes``, that with the least id is the
 response.  The least id per digest is found by a partial aggregate and joined back, so a payload that
@@ -15,6 +15,7 @@ rows without an id are left out; repeated rows of one id are written, and read,
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -91,7 +92,7 @@ def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z",
         F.concat_ws(CRLF, *notes),
     )
     records = base.select(F.explode(F.array(request, main, metadata)).alias("value"))
-    records.write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", 3 * captures_per_file).text(path)
+    records.write.option("compression", "gzip").option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", 3 * captures_per_file).text(path)
 
 
 def parse_records(data: bytes) -> Iterator[dict]:
@@ -119,7 +120,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for data in batch.column(0):
             rows = []
-            for r in parse_records(data.as_py()):
+            for r in parse_records(gzip.decompress(data.as_py())):
                 kind, block, fields = r["warc-type"], r["block"], {}
                 digest = r.get("warc-payload-digest", "").rpartition(":")[2] or None
                 payload = None
@@ -136,7 +137,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.where(F.col("length") > 0).select("content").mapInArrow(_rows, RECORD_SCHEMA)
+    return files.where(F.col("length") > 0).where(F.col("path").endswith(".gz")).select("content").mapInArrow(_rows, RECORD_SCHEMA)
 
 
 def assemble(records: DataFrame) -> DataFrame:
