@@ -120,7 +120,8 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for data in batch.column(0):
             rows = []
-            for r in parse_records(gzip.decompress(data.as_py())):
+            raw = data.as_py()
+            for r in parse_records(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw):
                 kind, block, fields = r["warc-type"], r["block"], {}
                 digest = r.get("warc-payload-digest", "").rpartition(":")[2] or None
                 payload = None
@@ -137,7 +138,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.where(F.col("length") > 0).where(F.col("path").endswith(".gz")).select("content").mapInArrow(_rows, RECORD_SCHEMA)
+    return files.where(F.col("length") > 0).select("content").mapInArrow(_rows, RECORD_SCHEMA)
 
 
 def assemble(records: DataFrame) -> DataFrame:
