@@ -83,12 +83,16 @@ def repeated_words(words: Column, window: int) -> Column:
 
     def hashed(h):
         n = F.size(h) - F.lit(window - 1)
-        windows = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.xxhash64(*(F.get(h, i - 1 + k) for k in range(window))).alias("h"), i.alias("i")))
-        return F.when(n < 2, F.lit(0)).otherwise(_let(F.array_sort(windows), in_order))
+        windows = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(h, i, window)))
+        return F.when(n < 2, F.lit(0)).otherwise(_let(windows, unless_distinct))
+
+    def unless_distinct(w):
+        in_order_of_hash = F.sort_array(F.transform(w, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0)).otherwise(_let(in_order_of_hash, in_order))
 
     def in_order(s):
         again = F.filter(s, lambda x, i: (x["h"] == F.get(s, i - 1)["h"]) | (x["h"] == F.get(s, i + 1)["h"]))
-        return _let(F.array_sort(F.transform(again, lambda x: x["i"])), covered)
+        return _let(F.sort_array(F.transform(again, lambda x: x["i"])), covered)
 
     def covered(p):
         return F.aggregate(
@@ -98,25 +102,26 @@ def repeated_words(words: Column, window: int) -> Column:
     return _let(F.transform(words, lambda w: F.xxhash64(w)), hashed)
 
 
-def line_fails(line: Column, rules: QualityRules = QualityRules()) -> Column:
-    """Punctuation, navigation and symbol rules; lines without a word pass."""
-    n = F.size(words_column(line))
-    symbols, separators = _count(line, SYMBOLS), _count(line, SEPARATORS)
-    letters = F.length(F.regexp_replace(line, r"[^\p{L}]", ""))
-    upper = F.length(F.regexp_replace(line, r"[^\p{Lu}]", ""))
-    fails = (
-        ((n < rules.short_line) & ~line.rlike(TERMINAL))
-        | (separators >= 3) & (separators * 12 >= n)
-        | (separators * 3 >= n)
-        | (symbols * 4 > n)
-        | (line.contains("!!") & (upper * 2 > letters))
-    )
-    return (n > 0) & fails
+def line_fails(line: Column, n: Column, rules: QualityRules = QualityRules()) -> Column:
+    """Punctuation, navigation and symbol rules for a line of ``n`` words; lines without a word pass."""
+
+    def body(v):
+        upper, letters = (F.length(F.regexp_replace(line, f"[^\\p{{{kind}}}]", "")) for kind in ("Lu", "L"))
+        return (
+            ((n < rules.short_line) & ~line.rlike(TERMINAL))
+            | (v["separators"] >= 3) & (v["separators"] * 12 >= n)
+            | (v["separators"] * 3 >= n)
+            | (v["symbols"] * 4 > n)
+            | (line.contains("!!") & (upper * 2 > letters))
+        )
+
+    counted = F.struct(_count(line, SEPARATORS).alias("separators"), _count(line, SYMBOLS).alias("symbols"))
+    return (n > 0) & _let(counted, body)
 
 
-def is_boilerplate(line: Column, rules: QualityRules = QualityRules()) -> Column:
-    low, n = F.lower(line), F.size(words_column(line))
-    return (n <= rules.boilerplate_words) & reduce(lambda a, b: a | b, (low.contains(p) for p in BOILERPLATE))
+def is_boilerplate(line: Column, n: Column, rules: QualityRules = QualityRules()) -> Column:
+    """Whether a line of ``n`` words is short and holds one of the phrases."""
+    return (n <= rules.boilerplate_words) & _let(F.lower(line), lambda low: reduce(lambda a, b: a | b, (low.contains(p) for p in BOILERPLATE)))
 
 
 def clean(docs: DataFrame, rules: QualityRules = QualityRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -125,6 +130,17 @@ def clean(docs: DataFrame, rules: QualityRules = QualityRules(), id_col: str = "
     words = words_column(F.col("text"))
     lines = F.split("text", "\n", -1)
     with_word = F.transform(F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: F.xxhash64(x))
+
+
+    def judged(x):
+        return _let(F.size(words_column(x)), lambda n: F.struct(x.alias("line"), line_fails(x, n, rules).alias("fails"), is_boilerplate(x, n, rules).alias("boilerplate")))
+
+    def joined(v, keep):
+        return F.array_join(F.transform(F.filter(v, keep), lambda x: x["line"]), "\n")
+
+    def result(v):  # each line is judged once
+        return F.struct(joined(v, lambda x: ~x["fails"] & ~x["boilerplate"]).alias("clean_text"), F.length(joined(v, lambda x: x["fails"])).cast("long").alias("lost_chars"))
+
     out = base.withColumns(
         {
             "n_words": F.size(words).cast("long"),
@@ -132,10 +148,10 @@ def clean(docs: DataFrame, rules: QualityRules = QualityRules(), id_col: str = "
             "n_symbols": _count(F.col("text"), "#*$%&|<>").cast("long"),
             "n_dup_lines": _let(with_word, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
             "n_repeat_words": repeated_words(words, rules.window).cast("long"),
-            "clean_text": F.array_join(F.filter(lines, lambda x: ~line_fails(x, rules) & ~is_boilerplate(x, rules)), "\n"),
-            "lost_chars": F.length(F.array_join(F.filter(lines, lambda x: line_fails(x, rules)), "\n")).cast("long"),
+            "judged": _let(F.transform(lines, judged), result),
         }
     )
+    out = out.withColumns({"clean_text": F.col("judged.clean_text"), "lost_chars": F.col("judged.lost_chars")}).drop("judged")
     failed = (F.col("n_words") < rules.min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * rules.max_repeat_pct)
     return out.withColumn("base_failed", failed).withColumn(
         "kept", ~failed & (F.col("lost_chars") * 100 <= F.length("text") * rules.max_lost_pct) & (F.length(F.trim("clean_text")) > 0)
