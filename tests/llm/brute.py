@@ -95,3 +95,44 @@ def first_fit_decreasing(lengths, capacity):
         else:
             bins[k] += n
     return bins
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def line_dedup(docs, similarity=0.8, min_words=5):
+    """doc_id -> (n_lines, n_removed, clean_text), comparing all lines with all."""
+    at = defaultdict(list)
+    for d, t in docs:
+        for k, x in enumerate((t or "").split("\n")):
+            if norm := re.sub(r"[\W_]+", " ", re.sub(r"\d", "0", x.lower())).strip():
+                at[norm].append((d, k))
+    parent = {x: x for x in at}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    long = [x for x in at if len(x.split(" ")) >= min_words]
+    for i, a in enumerate(long):
+        for b in long[:i]:
+            allowed = int(max(len(a), len(b)) * (1 - similarity) + 1e-9)
+            if abs(len(a) - len(b)) <= allowed and edit_distance(a, b) <= allowed:
+                parent[find(a)] = find(b)
+    group = defaultdict(list)
+    for x, places in at.items():
+        group[find(x)] += places
+    gone = {p for places in group.values() for p in places if p != min(places)}
+    out = {}
+    for d, t in docs:
+        x = (t or "").split("\n")
+        kept = [line for k, line in enumerate(x) if (d, k) not in gone]
+        out[d] = (len(x), len(x) - len(kept), "\n".join(kept))
+    return out

@@ -137,6 +137,20 @@ def test_line_dedup(spark):
     assert got[5] == (1, 0, "") and got[6] == (1, 1, "")
 
 
+def test_line_dedup_finds_changed_words(spark):
+    """One word changed in lines of 6 to 40 words, and several in long ones."""
+    r, docs = random.Random(11), []
+    for k in range(70):
+        words = prose(6 + k % 35, 900 + k).split()
+        changed = list(words)
+        for _ in range(1 + len(words) // 20):
+            changed[r.randrange(len(words))] = "other"
+        docs += [(2 * k + 1, f"{' '.join(words)}\nown {k}"), (2 * k + 2, " ".join(changed))]
+    want = brute.line_dedup(docs)
+    assert sum(n for _, n, _ in want.values()) > 90
+    assert by_id(lines.dedup_lines(spark, frame(spark, docs)), "n_lines", "n_removed", "clean_text") == want
+
+
 @pytest.mark.parametrize("similarity", [0.8, 0.95])
 def test_similar_lines(spark, similarity):
     r = random.Random(7)
