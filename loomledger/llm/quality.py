@@ -1,8 +1,7 @@
 """Line-first quality cleaning, in DataFrame expressions only.
 
 Each line is judged by itself; failing lines go, and a document that loses too much of its text to
-the first three line rules, or fails the whole-document base rules, is rejected.  Boilerplate lines
-go too, but a page is not held responsible for its licence line.
+the line rules, or fails the whole-document base rules, is rejected.
 
 Base rules (on the text as given): at least ``min_words`` words, and at most ``max_repeat_pct`` % of
 the words inside 5-word windows that occur twice or more.
@@ -12,7 +11,7 @@ Line rules, for lines that have a word:
 * punctuation: fewer than ``short_line`` words and no terminal mark at the end;
 * navigation: at least three separators (``| » › • ·``), or on average one for every three words;
 * symbols: more than one of ``#*$%&<>`` for every four words, or mostly upper-case with ``!!`` marks;
-* boilerplate: one of the fixed phrases below in a line of at most ``boilerplate_words`` words.
+* boilerplate: one of the fixed phrases below, as whole words, in a line of at most ``boilerplate_words`` words.
 
 Edge cases: null and empty texts have no words, so they fail the base; a document of which
 no text is left is rejected; very long texts cost n log n, never n squared.
@@ -121,7 +120,8 @@ def line_fails(line: Column, n: Column, rules: QualityRules = QualityRules()) ->
 
 def is_boilerplate(line: Column, n: Column, rules: QualityRules = QualityRules()) -> Column:
     """Whether a line of ``n`` words is short and holds one of the phrases."""
-    return (n <= rules.boilerplate_words) & _let(F.lower(line), lambda low: reduce(lambda a, b: a | b, (low.contains(p) for p in BOILERPLATE)))
+    whole = r"(?<![\p{L}\p{N}_])(?:" + "|".join(BOILERPLATE) + r")(?![\p{L}\p{N}_])"
+    return (n <= rules.boilerplate_words) & _let(F.lower(line), lambda low: reduce(lambda a, b: a | b, (low.contains(p) for p in BOILERPLATE)) & low.rlike(whole))
 
 
 def clean(docs: DataFrame, rules: QualityRules = QualityRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -139,7 +139,7 @@ def clean(docs: DataFrame, rules: QualityRules = QualityRules(), id_col: str = "
         return F.array_join(F.transform(F.filter(v, keep), lambda x: x["line"]), "\n")
 
     def result(v):  # each line is judged once
-        return F.struct(joined(v, lambda x: ~x["fails"] & ~x["boilerplate"]).alias("clean_text"), F.length(joined(v, lambda x: x["fails"])).cast("long").alias("lost_chars"))
+        return joined(v, lambda x: ~x["fails"] & ~x["boilerplate"])
 
     out = base.withColumns(
         {
@@ -148,10 +148,10 @@ def clean(docs: DataFrame, rules: QualityRules = QualityRules(), id_col: str = "
             "n_symbols": _count(F.col("text"), "#*$%&|<>").cast("long"),
             "n_dup_lines": _let(with_word, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
             "n_repeat_words": repeated_words(words, rules.window).cast("long"),
-            "judged": _let(F.transform(lines, judged), result),
+            "clean_text": _let(F.transform(lines, judged), result),
         }
     )
-    out = out.withColumns({"clean_text": F.col("judged.clean_text"), "lost_chars": F.col("judged.lost_chars")}).drop("judged")
+    out = out.withColumn("lost_chars", (F.length("text") - F.length("clean_text")).cast("long"))
     failed = (F.col("n_words") < rules.min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * rules.max_repeat_pct)
     return out.withColumn("base_failed", failed).withColumn(
         "kept", ~failed & (F.col("lost_chars") * 100 <= F.length("text") * rules.max_lost_pct) & (F.length(F.trim("clean_text")) > 0)

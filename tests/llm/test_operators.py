@@ -103,6 +103,15 @@ def test_quality_lines(spark):
     assert not found[2].kept and not found[3].kept
 
 
+def test_quality_loss_counts_boilerplate(spark):
+    good = "The council met on Tuesday and agreed to repair the old bridge before winter comes."
+    page = "\n".join([f"{prose(10, 300 + k)} privacy policy {prose(4, 400 + k)}." for k in range(12)] + [good])
+    whole = f"{good}\nProgress in the design in question was slower than anyone had hoped for.\nThey put the backlog in order."
+    rows = {r.doc_id: r for r in quality.clean(frame(spark, [(1, page), (2, whole)])).collect()}
+    assert not rows[1].base_failed and rows[1].clean_text == good and not rows[1].kept
+    assert rows[2].kept and rows[2].clean_text == whole
+
+
 def test_token_file(spark, docs, tmp_path):
     path = str(tmp_path / "ids")
     token_file.write_token_file(spark, frame(spark, docs), path, WORD)
