@@ -1,7 +1,8 @@
 """Token ids of whole texts by the ``tokenizers`` library, each distinct chunk encoded once.
 
 A text is cut only where the tokenizer's own pre-tokenisation always cuts, so the ids of the chunks,
-joined, are the ids of the text.  Most words repeat; a bounded cache of chunks makes that cheap.
+joined, are the ids of the text.  A text that holds the string of an added token (such as
+``<|endoftext|>``) goes whole through the library, which makes that token of it.  Most words repeat; a bounded cache of chunks makes that cheap.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         self.keeps_space, self.cache_size = keeps_space, cache_size
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.first: dict[str, bytes] = {}  # a text's first chunk, and, without a leading space, the others
@@ -76,8 +78,13 @@ class ChunkEncoder:
                 self.older[self.lead], self.later = self.later, {}
             if len(self.first) > self.cache_size:
                 self.older[""], self.first = self.first, {}
+            part = texts[at : at + group]
+            special = [k for k, text in enumerate(part) if self.added.search(text)]
+            whole = dict(zip(special, (self._pack(e.ids) for e in self._batch([part[k] for k in special]))))
             cut, heads, odd = [], [], []
-            for text in texts[at : at + group]:
+            for k, text in enumerate(part):
+                if k in whole:
+                    text = ""
                 if not self.keeps_space:
                     cut.append(text.replace("\n", " ").split(" "))
                 elif " ".join(text.split()) != text.replace("\n", " "):  # white space other than single blanks and line ends
@@ -91,8 +98,8 @@ class ChunkEncoder:
             if not self.keeps_space:
                 self._learn(self.later, set().union(*cut), "")
                 known = self.later.__getitem__
-                for chunks in cut:
-                    yield b"".join(map(known, chunks))
+                for k, chunks in enumerate(cut):
+                    yield whole[k] if k in whole else b"".join(map(known, chunks))
                 continue
             self._learn(self.first, {head for head, _ in odd}, "", odd=True)
             self._learn(self.later, set().union(*(tail for _, tail in odd)), " ", odd=True)
@@ -100,8 +107,8 @@ class ChunkEncoder:
             self._learn(self.later, set().union(*(tail for lines in cut for _, tail in lines)), " ")
             self.first[""] = b""
             first, later = self.first, self.later.__getitem__
-            for lines in cut:
-                yield line_end.join([first[head] + b"".join(map(later, tail)) for head, tail in lines])
+            for k, lines in enumerate(cut):
+                yield whole[k] if k in whole else line_end.join([first[head] + b"".join(map(later, tail)) for head, tail in lines])
 
 
 @lru_cache(maxsize=2)

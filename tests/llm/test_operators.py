@@ -285,6 +285,21 @@ def test_encoder_equals_library(path, keeps_space):
     assert [np.frombuffer(x, e.dtype).tolist() for x in e.encode(texts)] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@pytest.mark.parametrize("path, keeps_space", [(BYTE, True), (WORD, False)])
+def test_added_tokens_as_by_the_library(path, keeps_space):
+    texts = ["x <|endoftext|> y", "plain words", "<|endoftext|>", "a<|startoftext|>b\n c", "<|endoftext|><|endoftext|>\n", "<|ENDOFTEXT|> <|endof text|>"]
+    e, t = ChunkEncoder(path, keeps_space), Tokenizer.from_file(path)
+    assert [np.frombuffer(x, e.dtype).tolist() for x in e.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_added_tokens_in_token_file(spark, tmp_path):
+    texts = ["x <|endoftext|> y", "plain words", "<|startoftext|>a"]
+    token_file.write_token_file(spark, frame(spark, list(enumerate(texts))), str(tmp_path / "ids"), WORD)
+    t = Tokenizer.from_file(WORD)
+    got = {r.doc_id: r.ids for r in token_file.read_token_file(spark, str(tmp_path / "ids"), with_ids=True).collect()}
+    assert got == {k: [*t.encode(x, add_special_tokens=False).ids, 1] for k, x in enumerate(texts)}
+
+
 def test_empty_tables(spark, tmp_path):
     none = frame(spark, [])
     assert minhash.near_duplicates(spark, none).count() == 0
