@@ -13,18 +13,22 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
 
-def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id long, text string`` of the rows that have an id; a null text becomes empty."""
+
+
+def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """``doc_id long, text string`` and the columns ``carry`` of the rows that have an id; a null text becomes empty."""
     ship(df.sparkSession)
     return df.select(
         df[id_col].cast("long").alias("doc_id"),
         F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"),
+        *(df[c] for c in carry),
     ).where(F.col("doc_id").isNotNull())
 
 

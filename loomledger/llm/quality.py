@@ -19,6 +19,7 @@ no text is left is rejected; very long texts cost n log n, never n squared.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -124,9 +125,9 @@ def is_boilerplate(line: Column, n: Column, rules: QualityRules = QualityRules()
     return (n <= rules.boilerplate_words) & _let(F.lower(line), lambda low: reduce(lambda a, b: a | b, (low.contains(p) for p in BOILERPLATE)) & low.rlike(whole))
 
 
-def clean(docs: DataFrame, rules: QualityRules = QualityRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, text, clean_text`` and the counts and verdicts, a row per document."""
-    base = texts(docs, id_col, text_col)
+def clean(docs: DataFrame, rules: QualityRules = QualityRules(), id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """``doc_id, text, clean_text``, the counts and verdicts and the columns ``carry``, a row per document."""
+    base = texts(docs, id_col, text_col, carry)
     words = words_column(F.col("text"))
     lines = F.split("text", "\n", -1)
     with_word = F.transform(F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: F.xxhash64(x))
