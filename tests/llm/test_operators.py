@@ -169,10 +169,31 @@ def test_similar_lines(spark, similarity):
         b = "".join(c if r.random() > k / 150 else r.choice("xyz") for c in a)
         pairs.append((a, b))
     df = spark.createDataFrame(pairs, "a string, b string")
-    rows = df.select(lines.similar(F.col("a"), F.col("b"), similarity).alias("s"), F.levenshtein("a", "b").alias("d"), F.greatest(F.length("a"), F.length("b")).alias("n")).collect()
+    rows = df.select(lines.within(F.col("a"), F.col("b"), F.floor(F.greatest(F.length("a"), F.length("b")) * (1 - similarity) + 1e-9).cast("int")).alias("s"), F.levenshtein("a", "b").alias("d"), F.greatest(F.length("a"), F.length("b")).alias("n")).collect()
     assert all(x.s == (x.d <= int(x.n * (1 - similarity) + 1e-9)) for x in rows)
 
 
+def test_edit_distances():
+    r, pairs = random.Random(8), [("", ""), ("", "abc"), ("abc", ""), ("a" * 64, "a" * 64), ("a" * 65, "b" * 64), ("é中" * 70, "中é" * 64)]
+    for _ in range(150):
+        a = "".join(r.choice("abc ") for _ in range(r.choice([1, 40, 63, 64, 65, 128, 200])))
+        pairs.append((a, "".join(r.choice("xyz") if r.random() < 0.2 else c * r.choice([0, 1, 1, 1, 2]) for c in a)))
+    for a, b in pairs:
+        assert brute.edit_distance(*lines.without_common_ends(a, b)) == brute.edit_distance(a, b)
+    assert lines.edit_distances(*map(list, zip(*pairs))).tolist() == [brute.edit_distance(a, b) for a, b in pairs]
+
+
+def test_no_similar_pair_is_ruled_out():
+    r, pairs = random.Random(8), [("", ""), ("", "abc"), ("abc", "abc"), ("a" * 64, "a" * 64)]
+    for k in range(200):
+        a = "".join(r.choice("abcdé ") for _ in range(r.choice([1, 3, 40, 200])))
+        pairs.append((a, "".join(r.choice("xyz") if r.random() < k / 600 else c * r.choice([0, 1, 1, 1, 1, 1, 1, 2]) for c in a)))
+    may = lines.may_be_similar(*map(list, zip(*pairs)), 0.8)
+    true = [brute.edit_distance(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9) for a, b in pairs]
+    assert sum(true) > 40 and all(m for m, t in zip(may, true) if t)
+    assert not lines.may_be_similar([prose(50, 1)], [prose(50, 2)], 0.8)[0]
+
+
 def test_suffix_dedup(spark, docs):
     got = by_id(suffix_dedup.remove_repeats(spark, frame(spark, docs)), "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert got == brute.repeats(docs)
