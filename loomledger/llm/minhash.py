@@ -7,7 +7,7 @@
    family, so a link is missed only if no band agrees: at a similarity of 0.85, 3 in 10 million.
 3. In each family, the text with the fullest buckets (a group's centre) is compared with every other.
 4. Texts that it does not confirm are compared with the rest of their family in blocks: exact
-   intersection sizes of two blocks of at most ``BLOCK`` texts at a time.
+   intersection sizes of two blocks of about ``BLOCK`` shingles at a time.
 5. Components of the confirmed links are the groups.
 
 Sets are compared by 64-bit hashes of their shingles.  Within a block only a spanning forest of the
@@ -28,10 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, lower_words, texts
+from .common import Workspace, texts
 from .components import UnionFind, connected_components
 
-BLOCK = 128
+BLOCK = 1 << 16
+STRETCH = 1 << 19
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 MASK = (1 << 64) - 1
 
@@ -43,21 +44,45 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=1 << 19)
-def word_hash(word: bytes | str) -> int:
-    import xxhash
+@lru_cache(maxsize=4)
+def powers(base: int, size: int) -> np.ndarray:
+    """``base ** 0 .. base ** (size - 1)`` modulo 2**64."""
+    out = np.full(size, np.uint64(base))
+    out[0] = 1
+    return np.multiply.accumulate(out)
 
-    return xxhash.xxh3_64_intdigest(word)
+
+def run_hashes(codes: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of each run of codes that are ``inside``; the last code must not be."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], inside]).astype(np.int8)))
+    first, stop = edge[::2], edge[1::2]
+    size = 1 << (len(codes) + 1).bit_length()
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes.astype(np.uint64) * powers(int(_ODD), size)[: len(codes)])])
+    back = powers(pow(int(_ODD), -1, 1 << 64), size)
+    return mix((sums[stop] - sums[first]) * back[first] ^ mix((stop - first).astype(np.uint64))), first, stop
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """64-bit hashes of the words of a text, with A-Z lower-cased."""
+    data = np.frombuffer(text.encode("utf-8").lower() + b" ", np.uint8)
+    parts, at = [], 0
+    while at < len(data):  # a stretch at a time, each up to white space
+        end = min(len(data), at + STRETCH)
+        while end < len(data) and not (data[end - 1] == 32 or 9 <= data[end - 1] <= 13):
+            end += 1
+        part = data[at:end]
+        parts.append(run_hashes(part, (part != 32) & ((part < 9) | (part > 13)))[0])
+        at = end
+    return np.concatenate(parts)
 
 
 def shingle_set(text: str, size: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the lower-cased text's shingles."""
-    words = lower_words(text)
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(word_hash, words), np.uint64, len(words))
+    h = word_hashes(text)
+    if not len(h):
+        return h
     n = max(1, len(h) - size + 1)
-    out = np.full(n, len(words[:size]), np.uint64)
+    out = np.full(n, min(size, len(h)), np.uint64)
     for k in range(min(size, len(h))):
         out = mix((out ^ h[k : k + n]) * _ODD + np.uint64(k))
     return np.unique(out)
@@ -88,39 +113,31 @@ def super_minhash(elements: np.ndarray, owner: np.ndarray, n_sets: int, m: int)
     return sig
 
 
-def _batches_of(sets: list[np.ndarray], limit: int = 60_000) -> Iterator[tuple[int, int]]:
-    begin = size = 0
-    for k, s in enumerate(sets):
-        if size and size + len(s) > limit:
-            yield begin, k
-            begin, size = k, 0
-        size += len(s)
-    if begin < len(sets):
-        yield begin, len(sets)
+def signatures(sets: list[np.ndarray], m: int, together: int = 30_000) -> np.ndarray:
+    """Signatures of sets, ``together`` elements at a time: that of a union is the least of its parts'."""
+    sig = np.full((len(sets), m), float(m))
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    for at in range(0, len(flat), together):
+        own = owner[at : at + together]
+        low, high = own[0], own[-1] + 1
+        sig[low:high] = np.minimum(sig[low:high], super_minhash(flat[at : at + together], own - low, high - low, m))
+    return sig
 
 
 def _signatures(shingle: int, bands: int, rows: int):
-    m = bands * rows
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            sets = [shingle_set(t, shingle) for t in batch.column(1).to_pylist()]
-            keys = []
-            for a, b in _batches_of(sets):
-                part = sets[a:b]
-                owner = np.repeat(np.arange(len(part)), [len(s) for s in part])
-                sig = super_minhash(np.concatenate(part), owner, len(part), m).view(np.uint64).reshape(len(part), bands, rows)
-                key = np.broadcast_to(np.arange(bands, dtype=np.uint64) * _ODD, (len(part), bands)).copy()
-                for r in range(rows):
-                    key = mix(key ^ sig[:, :, r]) * _ODD
-                keys.append(key.view(np.int64))
-            keys = np.concatenate(keys) if keys else np.zeros((0, bands), np.int64)
+            sets = [shingle_set(t.as_py(), shingle) for t in batch.column(1)]
+            sig = signatures(sets, bands * rows).view(np.uint64).reshape(len(sets), bands, rows)
+            keys = np.broadcast_to(np.arange(bands, dtype=np.uint64) * _ODD, (len(sets), bands)).copy()
+            for r in range(rows):
+                keys = mix(keys ^ sig[:, :, r]) * _ODD
             n = np.array([len(s) for s in sets], np.int64)
             d1 = np.array([int(np.add.reduce(mix(s))) for s in sets], np.uint64).view(np.int64)
             d2 = np.array([int(np.add.reduce(mix(s ^ _ODD))) for s in sets], np.uint64).view(np.int64)
-            band = pa.FixedSizeListArray.from_arrays(pa.array(keys.reshape(-1)), bands).cast(pa.list_(pa.int64()))
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(n), pa.array(d1), pa.array(d2), band], ["doc_id", "n", "d1", "d2", "bands"])
+            band = pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).reshape(-1)), bands).cast(pa.list_(pa.int64()))
+            yield pa.record_batch([batch.column(0), pa.array(n), pa.array(d1), pa.array(d2), band], ["doc_id", "n", "d1", "d2", "bands"])
 
     return run
 
@@ -128,7 +145,7 @@ def _signatures(shingle: int, bands: int, rows: int):
 def _sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, shingle).view(np.int64) for t in batch.column(1).to_pylist()]
+            sets = [shingle_set(t.as_py(), shingle).view(np.int64) for t in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "elements"])
 
     return run
@@ -193,12 +210,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85, shi
     heads = sets.join(centres.withColumnRenamed("centre", "doc_id").drop("family"), "doc_id").select("family", "members", F.col("doc_id").alias("centre"), F.col("elements").alias("head"))
     common = F.size(F.array_intersect("elements", "head"))
     total = F.size("elements") + F.size("head")
-    star = sets.join(heads, "family").where("doc_id <> centre").select("family", "doc_id", "centre", "members", (common * 100 >= (total - common) * percent).alias("linked"))
+    star = sets.join(heads, "family").where("doc_id <> centre").select("family", "doc_id", "centre", "members", F.size("elements").alias("n"), F.size("head").alias("n_head"), (common * 100 >= (total - common) * percent).alias("linked"))
     star = ws.table(star, "star")
 
     # What the centre left open, against the rest of the family, block by block.
-    rest = star.groupBy("family").agg(F.sum((~F.col("linked")).cast("long")).alias("open"), F.max("members").alias("members")).where("open > 0 and members > 2")
-    rest = rest.select("family", F.ceil(F.col("open") / BLOCK).cast("int").alias("n_left"), F.ceil(F.col("members") / BLOCK).cast("int").alias("n_right"))
+    open_size = F.sum(F.when(~F.col("linked"), F.col("n")).otherwise(0))
+    rest = star.groupBy("family").agg(open_size.alias("open"), (F.sum("n") + F.max("n_head")).alias("all"), F.max("members").alias("members")).where("open > 0 and members > 2")
+    rest = rest.select("family", F.ceil(F.col("open") / BLOCK).cast("int").alias("n_left"), F.ceil(F.col("all") / BLOCK).cast("int").alias("n_right"))
     pool = star.join(rest, "family").join(sets.drop("family"), "doc_id")
     left, right = F.pmod(F.xxhash64("doc_id"), "n_left").cast("int"), F.pmod(F.xxhash64("doc_id", F.lit(1)), "n_right").cast("int")
     pool = pool.select("family", "doc_id", "elements", "linked", "n_left", "n_right", left.alias("l"), right.alias("r"))

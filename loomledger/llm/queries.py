@@ -36,7 +36,8 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.remove_repeats(spark, _documents(spark, sf_dir))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    text = F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text")  # a cut may fall inside a character
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", text)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
