@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fiscal import Period, between, in_months_of
+from ..functions.fiscal import Period, between, in_months_of, month_end
 from ..functions.values import department_part
 
 
@@ -39,6 +39,11 @@ def period(p: Period) -> Column:
     return in_months_of(F.col("period_start"), p)
 
 
+def months(p: Period) -> Column:
+    """Whole months of the transaction date, for ledgers whose period follows from it; unlike ``period`` it reaches the scan."""
+    return F.col("trandate").between(F.lit(p.start.replace(day=1)), F.lit(month_end(p.end)))
+
+
 def date_range(p: Period) -> Column:
     return between(F.col("trandate"), p)
 

@@ -20,9 +20,12 @@ def monthly(ledger: DataFrame, series: str | Column, how: str = "sum") -> DataFr
 
 def dense(series: DataFrame) -> DataFrame:
     """Missing months between the first and the last become 0; ``pos`` counts months from 0."""
-    spans = series.groupBy("series").agg(F.trunc(F.min("month"), "MM").alias("a"), F.trunc(F.max("month"), "MM").alias("b"))
-    grid = spans.select("series", F.posexplode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("pos", "m")).select("series", "pos", F.last_day("m").alias("month"))
-    return grid.join(series, ["series", "month"], "left").select("series", "month", "pos", F.coalesce("value", F.lit(0.0)).alias("value"))
+    begins, whole = F.trunc("month", "MM"), Window.partitionBy("series")
+    ahead = F.trunc(F.lead("month").over(whole.orderBy("month")), "MM")  # each row stands for the months up to the next row's
+    rows = series.select("series", "value", begins.alias("a"), F.coalesce(F.add_months(ahead, -1), begins).alias("b"), F.trunc(F.min("month").over(whole), "MM").alias("zero"))
+    rows = rows.select("series", "value", "a", "zero", F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("m"))
+    pos = F.months_between("m", "zero").cast("int").alias("pos")
+    return rows.select("series", F.last_day("m").alias("month"), pos, F.when(F.col("m") == F.col("a"), F.col("value")).otherwise(0.0).alias("value"))
 
 
 def aligned(series: DataFrame, names: list[str], coverage: float = 0.5, least: int = 12) -> DataFrame:
@@ -32,10 +35,16 @@ def aligned(series: DataFrame, names: list[str], coverage: float = 0.5, least: i
     return series.join(good, "series", "left_semi").groupBy("month").pivot("series", names).agg(F.first("value"))
 
 
-def decompose(series: DataFrame, period: int = 12) -> DataFrame:
-    """Additive: centred moving average, mean by position in the period, rest.  Series under two periods are left out."""
+def decompose(series: DataFrame, period: int = 12, keep_short: bool = False) -> DataFrame:
+    """Additive: centred moving average, mean by position in the period, rest.
+
+    Series under two periods are left out, or kept without parts.
+    """
     whole, order = Window.partitionBy("series"), Window.partitionBy("series").orderBy("pos")
-    x = series.withColumn("n", F.count("*").over(whole)).where(F.col("n") >= 2 * period)
+    x = series.withColumn("n", F.count("*").over(whole))
+    enough = F.col("n") >= 2 * period
+    if not keep_short:
+        x = x.where(enough)
     width = F.greatest(F.least(F.lit(period), F.floor(F.col("n") / 4)), F.lit(2)).cast("int")
     x = x.withColumn("w", width)
     trend = F.lit(None).cast("double")
@@ -52,14 +61,14 @@ def decompose(series: DataFrame, period: int = 12) -> DataFrame:
     # The means are centred on the mean of the (at most ``period``) slot means.
     first = F.row_number().over(slot.orderBy("pos")) == 1
     x = x.withColumn("one", F.when(first, F.col("s"))).withColumn("seasonal", F.col("s") - F.avg("one").over(whole))
-    r6 = lambda c: F.round(c, 6)
+    r6 = lambda c: F.when(enough, F.round(c, 6))
     return x.select("series", "month", "pos", "value", r6(F.col("trend")).alias("trend"), r6(F.col("seasonal")).alias("seasonal"), r6(F.col("value") - F.col("trend") - F.col("seasonal")).alias("residual"))
 
 
 def seasonally_adjusted(series: DataFrame, period: int = 12) -> DataFrame:
     """Value less its seasonal part; a series too short for one is unchanged."""
-    parts = decompose(series, period).select("series", "month", "seasonal")
-    return series.join(parts, ["series", "month"], "left").withColumn("adjusted", F.round(F.col("value") - F.coalesce("seasonal", F.lit(0.0)), 6)).drop("seasonal")
+    parts = decompose(series, period, keep_short=True)
+    return parts.select("series", "month", "pos", "value", F.round(F.col("value") - F.coalesce("seasonal", F.lit(0.0)), 6).alias("adjusted"))
 
 
 def seasonality_strength(parts: DataFrame) -> DataFrame:
@@ -118,6 +127,13 @@ def revenue_drivers(series: DataFrame, revenue: DataFrame, max_lag: int = 3, adj
     return out.select("series", F.col("lag").alias("expense_lag_after_revenue"), "r", "n", correlation_strength(F.col("r")).alias("strength"))
 
 
+def ranked_drivers(drivers: DataFrame, top_n: int = 10) -> DataFrame:
+    """The strongest positive and negative drivers: ``direction`` and ``rank`` by \\|r\\|; ties by name, r = 0 in neither."""
+    out = drivers.where("r <> 0").withColumn("direction", F.when(F.col("r") > 0, "positive").otherwise("negative"))
+    rank = F.row_number().over(Window.partitionBy("direction").orderBy(F.abs("r").desc(), "series"))
+    return out.withColumn("rank", rank).where(F.col("rank") <= top_n)
+
+
 def regression(pairs: DataFrame, by: list[str], lost: int = 0) -> DataFrame:
     """Least squares of y on x with a constant, per group: slope, intercept, errors, R², n.  Fewer than three rows give none."""
     out = pairs.groupBy(*by).agg(F.count("*").alias("n"), F.regr_sxx("y", "x").alias("sxx"), F.regr_sxy("y", "x").alias("sxy"), F.regr_syy("y", "x").alias("syy"), F.avg("x").alias("mx"), F.avg("y").alias("my"))
@@ -130,11 +146,21 @@ def regression(pairs: DataFrame, by: list[str], lost: int = 0) -> DataFrame:
     return out.select(*by, r6(F.col("b")).alias("slope"), r6(F.col("my") - F.col("b") * F.col("mx")).alias("intercept"), r6(se).alias("slope_error"), r6(safe_divide(F.col("b"), se)).alias("t_value"), r6(r2).alias("r2"), r6(1 - (1 - r2) * (F.col("n") - 1) / (F.col("n") - 1 - 1 - lost)).alias("adjusted_r2"), "n")
 
 
-def seasonal_regression(pairs: DataFrame, by: list[str], slot: str, period: int = 12) -> DataFrame:
-    """With a dummy per slot: x and y less their slot means (Frisch-Waugh), fewer degrees of freedom."""
+def seasonal_regression(pairs: DataFrame, by: list[str], slot: str) -> DataFrame:
+    """With a dummy per slot that occurs: x and y less their slot means (Frisch-Waugh) give slope and error sum.
+
+    R² is the whole model's, dummies included.  Groups without a degree of freedom give no row.
+    """
     w = Window.partitionBy(*by, slot)
-    inner = pairs.select(*by, (F.col("x") - F.avg("x").over(w)).alias("x"), (F.col("y") - F.avg("y").over(w)).alias("y"))
-    return regression(inner, by, lost=period - 1)
+    inner = pairs.select(*by, slot, F.col("y").alias("whole"), (F.col("x") - F.avg("x").over(w)).alias("x"), (F.col("y") - F.avg("y").over(w)).alias("y"))
+    sums = [F.regr_sxx("y", "x").alias("sxx"), F.regr_sxy("y", "x").alias("sxy"), F.regr_syy("y", "x").alias("within"), (F.var_pop("whole") * F.count("*")).alias("total")]
+    out = inner.groupBy(*by).agg(F.count("*").alias("n"), F.size(F.collect_set(slot)).alias("slots"), *sums)
+    df = F.col("n") - F.col("slots") - 1
+    out = out.where((df > 0) & (F.col("sxx") > 0)).withColumn("b", F.col("sxy") / F.col("sxx"))
+    sse = F.greatest(F.col("within") - F.col("b") * F.col("sxy"), F.lit(0.0))
+    r2, se = F.coalesce(1 - safe_divide(sse, F.col("total")), F.lit(0.0)), F.sqrt(sse / df / F.col("sxx"))
+    r6 = lambda c: F.round(c, 6)
+    return out.select(*by, r6(F.col("b")).alias("slope"), r6(se).alias("slope_error"), r6(safe_divide(F.col("b"), se)).alias("t_value"), r6(r2).alias("r2"), r6(1 - (1 - r2) * (F.col("n") - 1) / df).alias("adjusted_r2"), "n")
 
 
 def trend(series: DataFrame) -> DataFrame:

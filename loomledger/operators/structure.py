@@ -58,6 +58,30 @@ def budget_variance(actual: DataFrame, budget: DataFrame, dims: list[str]) -> Da
     return out.withColumn("status", favourable(F.col(dims[-1]), F.col("variance"))) if dims[-1] == "account_number" else out
 
 
+def budget_by(budget: DataFrame, dims: list[str], label: str = "account_name") -> DataFrame:
+    """Budget per department, account or both, with the greatest label of each group."""
+    return budget.groupBy(*map(key, dims)).agg(F.sum("budget_amount").cast("double").alias("budget"), F.max(label).alias("label"), F.count("*").alias("n"))
+
+
+def actuals_by(ledger: DataFrame, dims: list[str], label: str = "account_name") -> DataFrame:
+    """The same of actual amounts."""
+    return ledger.groupBy(*map(key, dims)).agg(F.sum("amount").cast("double").alias("actual"), F.max(label).alias("label"), F.count("*").alias("n"))
+
+
+def accuracy(pairs: DataFrame, expected: str, actual: str, tolerance: float = 0.01) -> DataFrame:
+    """How many values are within ``tolerance`` of the expected ones (an expected 0 must be met), and their share; null for none."""
+    e, a = F.col(expected), F.col(actual)
+    near = F.when(e == 0, a == 0).otherwise(F.abs((a - e) / e) <= tolerance)
+    return pairs.agg(F.count_if(near).alias("n_within"), F.count("*").alias("n"), F.round(F.avg(F.when(near, 1.0).otherwise(0.0)), 6).alias("accuracy"))
+
+
+def suite_stats(results: DataFrame, status: str = "status") -> DataFrame:
+    """``n, passed, failed, errors, pass_rate`` of test results; any other status counts in ``n`` only."""
+    s = F.lower(status)
+    passed = F.count_if(s == "pass")
+    return results.agg(F.count("*").alias("n"), passed.alias("passed"), F.count_if(s == "fail").alias("failed"), F.count_if(s == "error").alias("errors"), F.round(passed / F.count("*"), 6).alias("pass_rate"))
+
+
 def variance_totals(report: DataFrame) -> DataFrame:
     size = F.struct(F.abs("variance"), F.col("account_number"))
     worst = lambda s: F.max_by(F.when(F.col("status") == s, F.col("account_number")), F.when(F.col("status") == s, size))

@@ -1,21 +1,20 @@
-"""A :class:`QuerySpec` to a DataFrame, with cost estimates and the filter audit."""
+"""A :class:`QuerySpec` to a DataFrame, with the filter audit."""
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import aggregate, filters, series
+from ..operators import aggregate, analysis, filters, series, structure, volatility
 from .spec import Intent, QuerySpec
 
-# Rows of a month and the share that one filter of a kind leaves.
-ROWS_PER_MONTH, PER_DEPARTMENT, PER_PREFIX, PER_TYPE = 16_000, 0.15, 0.20, 0.10
-
-
-def conditions(spec: QuerySpec, with_period: bool = True) -> list[tuple[str, str, Column]]:
+def conditions(spec: QuerySpec, with_period: bool = True, from_date: bool = True) -> list[tuple[str, str, Column]]:
+    """``from_date``: the period follows from the date (and reaches the scan), else from the posting period."""
     out: list[tuple[str, str, Column]] = []
     if with_period and spec.period:
-        out.append(("period", f"period {spec.period.name}", filters.period(spec.period)))
+        out.append(("period", f"period {spec.period.name}", filters.months(spec.period) if from_date else filters.period(spec.period)))
     if spec.prefixes:
         out.append(("account", f"account prefix {', '.join(spec.prefixes)}", filters.account_type("prefix", spec.prefixes)))
     if spec.account_names:
@@ -34,6 +33,11 @@ def conditions(spec: QuerySpec, with_period: bool = True) -> list[tuple[str, str
     return out
 
 
+def _both_sides(ledger: DataFrame, spec: QuerySpec) -> DataFrame:
+    """Rows of revenue and costs alike: all filters but the accounts asked for."""
+    return filters.apply(ledger, conditions(replace(spec, prefixes=(), account_names=())))[0]
+
+
 def compile_spec(ledger: DataFrame, spec: QuerySpec, budget: DataFrame | None = None) -> DataFrame:
     """The filters of the question hold for both sides of a comparison."""
     if spec.ambiguous:
@@ -42,27 +46,25 @@ def compile_spec(ledger: DataFrame, spec: QuerySpec, budget: DataFrame | None =
     if spec.compare_departments and "department_name" not in dims:
         dims = ["department_name", *dims]
     if spec.comparison == "bva" and budget is not None:
-        from ..operators.structure import budget_variance
-
         part, _ = filters.apply(ledger, conditions(spec))
-        plan, _ = filters.apply(budget, conditions(spec))
-        return budget_variance(part, plan, [d for d in dims if d in ledger.columns] or ["account_number"])
+        plan, _ = filters.apply(budget, conditions(spec, from_date=False))
+        return structure.budget_variance(part, plan, [d for d in dims if d in ledger.columns] or ["account_number"])
     if spec.comparison_period is not None:
         part, _ = filters.apply(ledger, conditions(spec, with_period=False))
-        out = aggregate.compare(part, filters.period(spec.period), filters.period(spec.comparison_period), [d for d in dims if d in ledger.columns])
+        out = aggregate.compare(part, filters.months(spec.period), filters.months(spec.comparison_period), [d for d in dims if d in ledger.columns])
         return aggregate.top(out, spec.top_n, "current", spec.ascending) if spec.top_n else out
     part, _ = filters.apply(ledger, conditions(spec))
     if spec.intent is Intent.TREND and not dims:
         return aggregate.by_period(part, "month").orderBy("period")
+    if spec.intent is Intent.RATIO:
+        return structure.margins(_both_sides(ledger, spec), dims)
     if spec.intent in (Intent.CORRELATION, Intent.REGRESSION):
-        all_, _ = filters.apply(ledger, conditions(QuerySpec(types=spec.types, subsidiaries=spec.subsidiaries)))
-        revenue = series.dense(series.monthly(all_.where(filters.account_type("prefix", ["4"])), F.lit("revenue")))
-        costs = series.dense(series.monthly(all_.where(filters.account_type("prefix", list("5678"))), "account_name"))
-        return series.revenue_drivers(costs, revenue)
+        monthly = analysis.driver_series(_both_sides(ledger, spec)).persist()
+        if spec.intent is Intent.REGRESSION:
+            return series.regression(analysis.with_revenue(monthly), ["series"])
+        return analysis.drivers(monthly)
     if spec.intent is Intent.VOLATILITY:
-        from ..operators import volatility
-
-        return volatility.arch_effects(series.monthly(filters.apply(ledger, conditions(spec, False))[0], F.lit("total")))
+        return volatility.arch_effects(series.monthly(part, F.lit("total")))
     if spec.intent is Intent.DETAIL:
         return part.orderBy(F.desc("trandate"), *[c for c in part.columns if c != "trandate"]).limit(spec.top_n or 500)
     if spec.top_n:
@@ -77,20 +79,3 @@ def compile_spec(ledger: DataFrame, spec: QuerySpec, budget: DataFrame | None =
 def audit(ledger: DataFrame, spec: QuerySpec) -> list[str]:
     """What was applied, and a warning for what could not be."""
     return filters.apply(ledger, conditions(spec))[1]
-
-
-def estimate_rows(spec: QuerySpec) -> dict[str, float | str]:
-    months = 12 if spec.period is None else max(1, round(spec.period.days / 30.4))
-    rows = float(ROWS_PER_MONTH * months)
-    for n, share in ((len(spec.departments) + len(spec.parents), PER_DEPARTMENT), (len(spec.prefixes), PER_PREFIX), (len(spec.types), PER_TYPE)):
-        if n:
-            rows *= min(1.0, n * share)
-    rows = max(rows, 100.0)
-    grade = "low" if rows < 10_000 else "medium" if rows < 50_000 else "high" if rows < 150_000 else "very high"
-    return {"rows": rows, "seconds": round(rows / 1000 * 1.5 + 2, 1), "complexity": grade}
-
-
-def answers(new: QuerySpec, old: QuerySpec) -> bool:
-    """Whether rows kept for ``old`` answer ``new``: same period and other filters, departments a subset."""
-    same = all(getattr(new, k) == getattr(old, k) for k in ("period", "prefixes", "account_names", "types", "subsidiaries", "not_departments", "not_accounts", "parents"))
-    return same and (not old.departments or bool(new.departments) and set(new.departments) <= set(old.departments))

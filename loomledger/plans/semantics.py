@@ -4,6 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.registry import index
+
 
 @dataclass(frozen=True)
 class Meaning:
@@ -52,9 +57,9 @@ GROUPS: list[tuple[list[str], Meaning]] = [
     (["assets", "asset"], _prefix("1")),
     (["liabilities", "liability"], _prefix("2")),
     (["equity"], _prefix("3")),
-    ([f"{a} {b}" for a in ("sales and marketing", "sales & marketing", "s&m") for b in ("cost", "costs", "spend", "spending", "expense", "expenses")], Meaning(("53",), ("sales & marketing",))),
-    ([f"{a} {b}" for a in ("product development", "r&d") for b in ("cost", "costs")], Meaning(("52",), ("r&d",))),
-    ([f"{a} {b}" for a in ("g&a", "general and administrative") for b in ("cost", "costs")], Meaning(("59",), ("g&a",))),
+    (["sales and marketing expenses", "sales and marketing costs", "sales and marketing spend", "sales & marketing expenses", "s&m expenses"], Meaning(("53",), ("sales & marketing",))),
+    (["product development costs", "r&d costs"], Meaning(("52",), ("r&d",))),
+    (["g&a costs", "general and administrative costs"], Meaning(("59",), ("g&a",))),
     (["cost of sales cost", "cost of sales costs"], Meaning(("5",), ("cost of sales",))),
     (["sales"], _SALES),
     (["journal entries", "journals", "journal entry"], Meaning(types=("Journal",))),
@@ -73,4 +78,27 @@ GROUPS: list[tuple[list[str], Meaning]] = [
     (["parent company"], Meaning(subsidiaries=("Parent",))),
     (["consolidated"], Meaning(subsidiaries=("*",))),
 ]
+
 TERMS: dict[str, Meaning] = {w: m for words, m in GROUPS for w in words}
+
+
+def dictionary(spark: SparkSession) -> DataFrame:
+    """``term, choice, kind, value``: a row per filter that a term stands for; ``choice`` is null unless the term is ambiguous."""
+    rows = []
+    for term, meaning in TERMS.items():
+        for choice, m in meaning.options or ((None, meaning),):
+            for kind, values in (("account_prefix", m.prefixes), ("account_name", m.account_names), ("type", m.types), ("subsidiary", m.subsidiaries)):
+                rows.extend((term, choice, kind, v) for v in values)
+    return spark.createDataFrame(rows, "term string, choice string, kind string, value string")
+
+
+def resolve(asked: DataFrame, registry: DataFrame) -> DataFrame:
+    """``term, choice, kind, value`` for a table of terms: what the dictionary says, else the entities of that alias.
+
+    Case and outer blanks do not matter; a term that neither knows has one row of nulls.
+    """
+    asked = asked.select(F.lower(F.trim("term")).alias("term")).distinct()
+    known = asked.join(F.broadcast(dictionary(asked.sparkSession)), "term")  # a fixed table
+    rest = asked.join(known.select("term").distinct(), "term", "left_anti")
+    entities = index(registry).select(F.col("alias").alias("term"), F.lit(None).cast("string").alias("choice"), "kind", F.col("name").alias("value")).distinct()
+    return known.select("term", "choice", "kind", "value").unionByName(rest.join(entities, "term", "left").select("term", "choice", "kind", "value"))

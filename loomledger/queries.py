@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import fiscal, values
-from .operators import aggregate, filters, registry, series, structure, volatility
-from .plans import compiler, parser
-from .sources.ledger import LEDGER_SQL, profile, sample_ledger, synthetic_ledger, tables
+from .operators import aggregate, analysis, filters, registry, series, structure, volatility
+from .plans import compiler, semantics
+from .plans.spec import Intent, QuerySpec
+from .sources.ledger import LEDGER_SQL, account_list, profile, sample_ledger, sql_over, synthetic_ledger, tables
 from .sources.schema import canonical
 from .streaming import events
 
@@ -68,7 +69,7 @@ def compare_sql(dims: str, where: str = "TRUE", a: fiscal.Period = YTD, b: fisca
 @query(compare_sql("department_name", OPEX) + " ORDER BY current DESC, department_name LIMIT 5")
 def opex_by_department_ytd(ledger: DataFrame) -> DataFrame:
     part = ledger.where(filters.account_type("prefix", ["5"]))
-    out = aggregate.compare(part, filters.period(YTD), filters.period(LAST_YTD), ["department_name"])
+    out = aggregate.compare(part, filters.months(YTD), filters.months(LAST_YTD), ["department_name"])
     return aggregate.top(out, 5, "current", ties=["department_name"])
 
 
@@ -98,7 +99,7 @@ _filtered("filter_subsidiary", lambda: filters.subsidiary(["build", "AUTO"]), "l
 _filtered("filter_excluding", lambda: filters.excluding(filters.department(["nation_3"])) & filters.excluding(filters.account(["brand#2"])), "lower(split_part(department_name, ' : ', 2)) <> 'nation_3' AND lower(account_name) NOT LIKE '%brand#2%'")
 _filtered(
     "filter_conjunction",
-    lambda: filters.all_of([filters.period(YTD), filters.account_type("prefix", ["5"]), filters.transaction_type(["VendBill"]), filters.department(["Nation_3", "Nation_12"])]),
+    lambda: filters.all_of([filters.months(YTD), filters.account_type("prefix", ["5"]), filters.transaction_type(["VendBill"]), filters.department(["Nation_3", "Nation_12"])]),
     f"{_days(YTD)} AND {OPEX} AND type = 'VendBill' AND split_part(department_name, ' : ', 2) IN ('NATION_3', 'NATION_12')",
 )
 
@@ -191,17 +192,17 @@ def ytd_total(ledger: DataFrame) -> DataFrame:
 # Comparison.
 @query(compare_sql(""))
 def compare_totals(ledger: DataFrame) -> DataFrame:
-    return aggregate.compare(ledger, filters.period(YTD), filters.period(LAST_YTD), [])
+    return aggregate.compare(ledger, filters.months(YTD), filters.months(LAST_YTD), [])
 
 
 @query(compare_sql("department_name, type"))
 def compare_multi_dimension(ledger: DataFrame) -> DataFrame:
-    return aggregate.compare(ledger, filters.period(YTD), filters.period(LAST_YTD), ["department_name", "type"])
+    return aggregate.compare(ledger, filters.months(YTD), filters.months(LAST_YTD), ["department_name", "type"])
 
 
 @query(compare_sql("account_name", "TRUE", fiscal.month_of(date(2000, 5, 1)), fiscal.month_of(date(2000, 4, 1))))
 def variance_by_category(ledger: DataFrame) -> DataFrame:
-    return aggregate.compare(ledger, filters.period(fiscal.month_of(date(2000, 5, 1))), filters.period(fiscal.month_of(date(2000, 4, 1))), ["account_name"])
+    return aggregate.compare(ledger, filters.months(fiscal.month_of(date(2000, 5, 1))), filters.months(fiscal.month_of(date(2000, 4, 1))), ["account_name"])
 
 
 _RATIO = f"""SELECT CAST(period_start AS VARCHAR) AS period_start, round(CAST(a AS DOUBLE) / CAST(b AS DOUBLE), 6) AS ratio FROM (SELECT period_start, {case_sum("account_number LIKE '5%'")} AS a, {case_sum("account_number LIKE '4%'")} AS b FROM ledger GROUP BY 1) WHERE b <> 0"""
@@ -219,11 +220,11 @@ def ratio_over_time(ledger: DataFrame) -> DataFrame:
 
 # Budget: last year's actuals, 5 % up, for accounts of even number only (so that both sides have gaps).
 def _budget(ledger: DataFrame) -> DataFrame:
-    part = ledger.where(filters.period(LAST_YTD) & ((F.substring("account_number", 4, 1).cast("int") % 2) == 0))
-    return part.select("account_number", "department_name", "period_start", (F.col("amount") * F.lit("1.05").cast("decimal(3,2)")).cast("decimal(18,4)").alias("budget_amount"))
+    part = ledger.where(filters.months(LAST_YTD) & ((F.substring("account_number", 4, 1).cast("int") % 2) == 0))
+    return part.select("account_number", "account_name", "department_name", "period_start", (F.col("amount") * F.lit("1.05").cast("decimal(3,2)")).cast("decimal(18,4)").alias("budget_amount"))
 
 
-_BUDGET_SQL = f"""(SELECT account_number, CAST(amount * CAST(1.05 AS DECIMAL(3,2)) AS DECIMAL(18,4)) AS budget_amount FROM ledger WHERE {_days(LAST_YTD)} AND CAST(substr(account_number, 4, 1) AS INTEGER) % 2 = 0)"""
+_BUDGET_SQL = f"""(SELECT account_number, account_name, department_name, CAST(amount * CAST(1.05 AS DECIMAL(3,2)) AS DECIMAL(18,4)) AS budget_amount FROM ledger WHERE {_days(LAST_YTD)} AND CAST(substr(account_number, 4, 1) AS INTEGER) % 2 = 0)"""
 _VARIANCE_SQL = f"""SELECT account_number, CAST(a AS DOUBLE) AS actual, CAST(b AS DOUBLE) AS budget, CAST(a - b AS DOUBLE) AS variance,
   round(CASE WHEN b = 0 THEN 0 ELSE CAST(a - b AS DOUBLE) / CAST(b AS DOUBLE) * 100 END, 6) AS variance_pct,
   CASE WHEN a - b = 0 THEN 'neutral' WHEN (account_number LIKE '4%') = (a - b > 0) THEN 'favorable' ELSE 'unfavorable' END AS status
@@ -234,13 +235,42 @@ _VARIANCE_SQL = f"""SELECT account_number, CAST(a AS DOUBLE) AS actual, CAST(b A
 
 @query(_VARIANCE_SQL)
 def budget_vs_actual(ledger: DataFrame) -> DataFrame:
-    return structure.budget_variance(ledger.where(filters.period(YTD)), _budget(ledger), ["account_number"])
+    return structure.budget_variance(ledger.where(filters.months(YTD)), _budget(ledger), ["account_number"])
 
 
 @query(f"""SELECT round(sum(actual), 2) AS actual, round(sum(budget), 2) AS budget, count(*) FILTER (status = 'favorable') AS n_favorable, count(*) FILTER (status = 'unfavorable') AS n_unfavorable,
   max_by(account_number, abs(variance)) FILTER (status = 'favorable') AS most_favorable, max_by(account_number, abs(variance)) FILTER (status = 'unfavorable') AS most_unfavorable FROM ({_VARIANCE_SQL})""")
 def budget_report_totals(ledger: DataFrame) -> DataFrame:
-    return structure.variance_totals(structure.budget_variance(ledger.where(filters.period(YTD)), _budget(ledger), ["account_number"]))
+    return structure.variance_totals(structure.budget_variance(ledger.where(filters.months(YTD)), _budget(ledger), ["account_number"]))
+
+
+_DIMS = {"department": ["department_name"], "account": ["account_number"], "both": ["department_name", "account_number"]}
+for _kind, _dims in _DIMS.items():
+    _keys = ", ".join(_dims)
+
+    def _budgets(ledger: DataFrame, dims: list[str] = _dims) -> DataFrame:
+        return structure.budget_by(_budget(ledger), dims)
+
+    def _actuals(ledger: DataFrame, dims: list[str] = _dims) -> DataFrame:
+        return structure.actuals_by(ledger.where(filters.months(YTD)), dims)
+
+    _budgets.__name__, _actuals.__name__ = f"budget_by_{_kind}", f"actuals_by_{_kind}"
+    query(f"SELECT {_keys}, CAST(sum(budget_amount) AS DOUBLE) AS budget, max(account_name) AS label, count(*) AS n FROM {_BUDGET_SQL} GROUP BY ALL")(_budgets)
+    query(f"SELECT {_keys}, {SUM} AS actual, max(account_name) AS label, count(*) AS n FROM ledger WHERE {_days(YTD)} GROUP BY ALL")(_actuals)
+
+
+@query(f"SELECT count(*) FILTER (ok) AS n_within, count(*) AS n, round(avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM (SELECT CASE WHEN budget = 0 THEN actual = 0 ELSE abs((actual - budget) / budget) <= 0.25 END AS ok FROM ({_VARIANCE_SQL}))")
+def budget_accuracy(ledger: DataFrame) -> DataFrame:
+    report = structure.budget_variance(ledger.where(filters.months(YTD)), _budget(ledger), ["account_number"])
+    return structure.accuracy(report, "budget", "actual", 0.25)
+
+
+@query(f"""SELECT strftime(period_start, '%Y-%m') AS period, CAST(t AS DOUBLE) AS total, round(CAST(t - p AS DOUBLE), 2) AS delta, round(CASE WHEN p IS NULL OR p = 0 THEN 0 ELSE CAST(t - p AS DOUBLE) / CAST(abs(p) AS DOUBLE) END, 6) AS delta_frac
+  FROM (SELECT *, lag(t) OVER (ORDER BY period_start) AS p FROM (SELECT period_start, sum(amount) AS t FROM ledger GROUP BY 1))""")
+def month_over_month(ledger: DataFrame) -> DataFrame:
+    months = aggregate.by_period(ledger, "month").select("period", "total", F.lag("total").over(Window.orderBy("period")).alias("before"))  # a row per month
+    delta, share = structure.change(F.col("total"), F.col("before"))
+    return months.select("period", "total", F.round(delta, 2).alias("delta"), F.round(share, 6).alias("delta_frac"))
 
 
 _MARGIN_SUMS = f"""SELECT department_name, CAST({case_sum("account_number LIKE '4%'")} AS DOUBLE) AS r, CAST({case_sum("account_number LIKE '51%'")} AS DOUBLE) AS c, CAST({case_sum("account_number LIKE '5%'")} AS DOUBLE) AS o, CAST({case_sum("account_number[1] IN ('6','7','8')")} AS DOUBLE) AS x FROM ledger GROUP BY 1"""
@@ -251,10 +281,16 @@ def margin_ratios(ledger: DataFrame) -> DataFrame:
     return structure.margins(ledger, ["department_name"])
 
 
-@query("SELECT assets / liabilities AS current_ratio, (assets - inventory) / liabilities AS quick_ratio, CAST(1.0 AS DOUBLE) AS confidence FROM (SELECT sum(CAST(c_acctbal AS DECIMAL(18,2)))::DOUBLE AS assets, 1000.0::DOUBLE AS inventory, 250000.0::DOUBLE AS liabilities FROM customer)", ledger=False)
+# Customers' balances above 0 are assets, those below 0 liabilities; what suppliers owe stands for the inventory.
+@query("""SELECT assets / liabilities AS current_ratio, (assets - inventory) / liabilities AS quick_ratio, CAST(1.0 AS DOUBLE) AS confidence FROM
+  (SELECT CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) FILTER (c_acctbal > 0) AS DOUBLE) AS assets, CAST(-sum(CAST(c_acctbal AS DECIMAL(18,2))) FILTER (c_acctbal < 0) AS DOUBLE) AS liabilities FROM customer),
+  (SELECT CAST(sum(CAST(s_acctbal AS DECIMAL(18,2))) FILTER (s_acctbal > 0) AS DOUBLE) AS inventory FROM supplier)""", ledger=False)
 def liquidity_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sums = tables(spark, sf_dir, "customer")[0].agg(F.sum(F.col("c_acctbal").cast("decimal(18,2)")).cast("double").alias("assets"))
-    return sums.select(*structure.liquidity(F.col("assets"), F.lit(1000.0), F.lit(250000.0)))
+    customer, supplier = tables(spark, sf_dir, "customer", "supplier")
+    money = lambda c, p, a: F.coalesce(F.sum(F.when(p, F.col(c).cast("decimal(18,2)"))), F.lit(0)).cast("double").alias(a)
+    owed = customer.agg(money("c_acctbal", F.col("c_acctbal") > 0, "assets"), money("c_acctbal", F.col("c_acctbal") < 0, "owing"))
+    stock = supplier.agg(money("s_acctbal", F.col("s_acctbal") > 0, "inventory"))
+    return owed.join(stock).select(*structure.liquidity(F.col("assets"), F.col("inventory"), -F.col("owing")))  # one row each
 
 
 # Windows, top-k, sets.
@@ -294,7 +330,7 @@ def page_of_lines(ledger: DataFrame) -> DataFrame:
 
 @query(f"SELECT account_number FROM ledger WHERE {_days(YTD)} UNION SELECT account_number FROM ledger WHERE {_days(LAST_YTD)}")
 def union_of_keys(ledger: DataFrame) -> DataFrame:
-    side = lambda p: ledger.where(filters.period(p)).select("account_number")
+    side = lambda p: ledger.where(filters.months(p)).select("account_number")
     return side(YTD).union(side(LAST_YTD)).distinct()
 
 
@@ -309,8 +345,12 @@ _TREE_SQL = """nodes AS (SELECT DISTINCT account_number AS node, substr(account_
   up AS (SELECT node AS ancestor, node AS descendant, 0 AS depth FROM nodes UNION ALL SELECT n.parent, up.descendant, up.depth + 1 FROM up JOIN nodes n ON n.node = up.ancestor WHERE n.parent IS NOT NULL)"""
 
 
-def _nodes(ledger: DataFrame) -> DataFrame:
-    accounts = ledger.select("account_number").distinct()
+def _sums(ledger: DataFrame) -> DataFrame:
+    """Sums per account, as few rows as the chart; kept, for the tree and its facts come from the same pass."""
+    return ledger.groupBy("account_number").agg(F.sum("amount").alias("amount")).persist()
+
+
+def _nodes(accounts: DataFrame) -> DataFrame:
     pair = lambda a, b: accounts.select(a.alias("node"), b.alias("parent"))
     n, cut = F.col("account_number"), lambda k: F.substring("account_number", 1, k)
     out = pair(n, cut(2)).union(pair(cut(2), cut(1))).union(pair(cut(1), F.lit("all"))).union(accounts.select(F.lit("all"), F.lit(None).cast("string")))
@@ -323,7 +363,8 @@ def _rec(sql: str) -> str:
 
 @query()
 def rollup_accounts(ledger: DataFrame) -> DataFrame:
-    return structure.rollup(ledger, structure.closure(_nodes(ledger)))
+    sums = _sums(ledger)
+    return structure.rollup(sums, structure.closure(_nodes(sums)))
 
 
 ORACLE_SQL["rollup_accounts"] = _rec("SELECT ancestor AS node, CAST(coalesce(sum(CASE WHEN ancestor = descendant THEN s END), 0) AS DOUBLE) AS direct, CAST(coalesce(sum(s), 0) AS DOUBLE) AS rolled FROM up LEFT JOIN (SELECT account_number, sum(amount) AS s FROM ledger GROUP BY 1) f ON f.account_number = descendant GROUP BY 1")
@@ -331,8 +372,9 @@ ORACLE_SQL["rollup_accounts"] = _rec("SELECT ancestor AS node, CAST(coalesce(sum
 
 @query()
 def rollup_level_two(ledger: DataFrame) -> DataFrame:
-    tree = structure.closure(_nodes(ledger))
-    return structure.rollup(ledger, tree).join(structure.levels(tree).where("level = 2"), "node").select("node", "level", "rolled")
+    sums = _sums(ledger)
+    tree = structure.closure(_nodes(sums))
+    return structure.rollup(sums, tree).join(structure.levels(tree).where("level = 2"), "node").select("node", "level", "rolled")
 
 
 ORACLE_SQL["rollup_level_two"] = _rec("SELECT node, level, CAST(s AS DOUBLE) AS rolled FROM (SELECT descendant AS node, CAST(max(depth) AS INTEGER) AS level FROM up GROUP BY 1) JOIN (SELECT substr(account_number, 1, 2) AS p, sum(amount) AS s FROM ledger GROUP BY 1) ON p = node WHERE level = 2")
@@ -345,6 +387,28 @@ def recent_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.orderBy(F.desc("o_orderdate"), "o_orderkey").limit(500).select("o_orderkey", "o_totalprice", "c_name", F.col("o_orderdate").cast("date").alias("day"))
 
 
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS day, o_orderstatus, p_name, l_extendedprice FROM lineitem JOIN orders ON l_orderkey = o_orderkey LEFT JOIN part ON l_partkey = p_partkey
+  WHERE l_shipdate >= DATE '1999-06-15' AND l_shipdate < DATE '2000-06-16' ORDER BY CAST(l_shipdate AS DATE) DESC, l_orderkey, l_linenumber, l_partkey, l_extendedprice LIMIT 500""", ledger=False)
+def transaction_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with their header and account over the twelve months to ``AS_OF``, the latest 500."""
+    line, orders, part = tables(spark, sf_dir, "lineitem", "orders", "part")
+    recent = line.where((F.col("l_shipdate") >= F.lit(fiscal.add_months(AS_OF, -12))) & (F.col("l_shipdate") < F.lit(AS_OF + timedelta(days=1))))
+    out = recent.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
+    day = F.col("l_shipdate").cast("date").alias("day")
+    out = out.select("l_orderkey", "l_linenumber", "l_partkey", day, "o_orderstatus", "p_name", "l_extendedprice")
+    return out.orderBy(F.desc("day"), "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").limit(500)
+
+
+@query("SELECT account_number, max(account_name) AS account_name FROM ledger GROUP BY 1 ORDER BY 1 LIMIT 100")
+def accounts_listed(ledger: DataFrame) -> DataFrame:
+    return account_list(ledger)
+
+
+@query(f"SELECT subsidiary, {SUM} AS total, count(DISTINCT account_number) AS accounts FROM ledger WHERE type = 'Journal' GROUP BY 1")
+def sql_over_ledger(ledger: DataFrame) -> DataFrame:
+    return sql_over(ledger, "SELECT subsidiary, CAST(sum(amount) AS DOUBLE) AS total, count(DISTINCT account_number) AS accounts FROM {ledger} WHERE type = 'Journal' GROUP BY subsidiary")
+
+
 @query(f"SELECT d.name AS period, count(*) AS n, {SUM} AS total FROM ledger JOIN (VALUES ('H1', DATE '1999-02-01', DATE '1999-07-31'), ('Q2', DATE '1999-05-01', DATE '1999-07-31'), ('H2', DATE '1999-08-01', DATE '2000-01-31')) d(name, a, b) ON trandate BETWEEN d.a AND d.b GROUP BY 1")
 def period_overlap_join(ledger: DataFrame) -> DataFrame:
     periods = [("H1", date(1999, 2, 1), date(1999, 7, 31)), ("Q2", date(1999, 5, 1), date(1999, 7, 31)), ("H2", date(1999, 8, 1), date(2000, 1, 31))]
@@ -379,12 +443,21 @@ def series_decompose(ledger: DataFrame) -> DataFrame:
     return series.decompose(series.dense(series.monthly(ledger, "type"))).select("series", "pos", F.round("trend", 2).alias("trend"), F.round("seasonal", 2).alias("seasonal"), F.round("residual", 2).alias("residual"))
 
 
-ORACLE_SQL["series_decompose"] = f"""WITH {LEDGER_SQL}, {_DENSE},
+_DECOMPOSED = f"""WITH {LEDGER_SQL}, {_DENSE},
   c AS (SELECT *, CASE WHEN count(value) OVER w = 12 THEN avg(value) OVER w END AS t FROM dense WINDOW w AS (PARTITION BY series ORDER BY pos ROWS BETWEEN 6 PRECEDING AND 5 FOLLOWING)),
   f AS (SELECT *, coalesce(first_value(t IGNORE NULLS) OVER (PARTITION BY series ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), last_value(t IGNORE NULLS) OVER (PARTITION BY series ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS trend FROM c),
   s AS (SELECT *, avg(value - trend) OVER (PARTITION BY series, pos % 12) AS sm FROM f),
   z AS (SELECT series, avg(sm) AS centre FROM (SELECT DISTINCT series, pos % 12 AS k, round(sm, 8) AS sm FROM s) GROUP BY 1)
-  SELECT series, pos, round(trend, 2) AS trend, round(sm - centre, 2) AS seasonal, round(value - trend - (sm - centre), 2) AS residual FROM s JOIN z USING (series)"""
+"""
+ORACLE_SQL["series_decompose"] = _DECOMPOSED + "SELECT series, pos, round(trend, 2) AS trend, round(sm - centre, 2) AS seasonal, round(value - trend - (sm - centre), 2) AS residual FROM s JOIN z USING (series)"
+ORACLE_SQL["series_seasonality_strength"] = _DECOMPOSED + """SELECT series, k AS strength, CASE WHEN k >= 0.7 THEN 'strong' WHEN k >= 0.4 THEN 'moderate' WHEN k >= 0.2 THEN 'weak' ELSE 'none' END AS grade FROM
+  (SELECT series, round(coalesce(var_pop(sm - centre) / nullif(var_pop(sm - centre) + var_pop(value - trend - (sm - centre)), 0), 0), 4) AS k FROM s JOIN z USING (series) GROUP BY 1)"""
+ORACLE_SQL["series_adjusted"] = _DECOMPOSED + "SELECT series, pos, value, round(value - (sm - centre), 2) AS adjusted FROM s JOIN z USING (series)"
+
+
+@query()
+def series_adjusted(ledger: DataFrame) -> DataFrame:
+    return series.seasonally_adjusted(series.dense(series.monthly(ledger, "type"))).select("series", "pos", "value", F.round("adjusted", 2).alias("adjusted"))
 
 
 @query()
@@ -410,16 +483,35 @@ ORACLE_SQL["correlation_spearman"] = f"""WITH {LEDGER_SQL}, {_PARTS}, j AS (SELE
 
 
 def _with_revenue(ledger: DataFrame) -> DataFrame:
-    costs = series.monthly(ledger.where(structure.prefix("5")), "account_name").select("series", "month", F.col("value").alias("x"))
-    revenue = series.monthly(ledger.where(structure.prefix("4")), F.lit("revenue")).select("month", F.col("value").alias("y"))
-    return costs.join(revenue, "month")
+    return analysis.with_revenue(analysis.driver_series(ledger.where(structure.prefix("4", "5"))).persist())
 
 
 @query()
 def revenue_drivers(ledger: DataFrame) -> DataFrame:
-    revenue = series.dense(series.monthly(ledger.where(structure.prefix("4")), F.lit("revenue")))
-    costs = series.dense(series.monthly(ledger.where(structure.prefix("5", "6", "7", "8")), "account_name"))
-    return volatility.with_p_values(series.revenue_drivers(costs, revenue))
+    return analysis.drivers(analysis.driver_series(ledger).persist())
+
+
+@query()
+def revenue_analysis(ledger: DataFrame) -> DataFrame:
+    return analysis.revenue_analysis(ledger, 5)
+
+
+# Drivers without seasonal adjustment, ranked: the lags, r and n of every cost series over dense months.
+def _drivers_sql(where: str, tail: str) -> str:
+    m = f"SELECT CASE WHEN account_number LIKE '4%' THEN 'revenue' ELSE account_name END AS series, last_day(trandate) AS month, {SUM} AS value FROM ledger WHERE account_number[1] IN ('4','5','6','7','8') AND {where} GROUP BY 1, 2 HAVING value <> 0"
+    return f"""WITH {LEDGER_SQL}, {_DENSE.replace(_MONTHLY, m)},
+  l AS (SELECT d.series, k.lag, d.value AS x, r.value AS y FROM dense d CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS lag) k JOIN dense r ON r.series = 'revenue' AND r.month = last_day(CAST(date_trunc('month', d.month) - to_months(CAST(k.lag AS INTEGER)) AS DATE)) WHERE d.series <> 'revenue'),
+  c AS (SELECT series, CAST(lag AS INTEGER) AS expense_lag_after_revenue, round(coalesce(CASE WHEN isnan(corr(x, y)) THEN 0 ELSE corr(x, y) END, 0), 6) AS r, count(*) AS n FROM l GROUP BY 1, 2 HAVING count(*) >= 3),
+  best AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY series ORDER BY abs(r) DESC, expense_lag_after_revenue) = 1) {tail}"""
+
+
+@query()
+def drivers_ranked(ledger: DataFrame) -> DataFrame:
+    found = analysis.drivers(analysis.driver_series(ledger).persist(), adjust=False)
+    return series.ranked_drivers(found, 5).select("series", "expense_lag_after_revenue", "r", "n", "direction", "rank")
+
+
+ORACLE_SQL["drivers_ranked"] = _drivers_sql("TRUE", "SELECT *, CAST(row_number() OVER (PARTITION BY direction ORDER BY abs(r) DESC, series) AS INTEGER) AS rank FROM (SELECT *, CASE WHEN r > 0 THEN 'positive' ELSE 'negative' END AS direction FROM best WHERE r <> 0) QUALIFY rank <= 5")
 
 
 @query()
@@ -438,10 +530,12 @@ def regression_inference(ledger: DataFrame) -> DataFrame:
 @query()
 def regression_seasonal(ledger: DataFrame) -> DataFrame:
     pairs = _with_revenue(ledger).withColumn("slot", F.month("month"))
-    return series.seasonal_regression(pairs, ["series"], "slot").select("series", "slope", "n")
+    return series.seasonal_regression(pairs, ["series"], "slot").select("series", "slope", "r2", "adjusted_r2", "n")
 
 
-ORACLE_SQL["regression_seasonal"] = f"WITH {LEDGER_SQL}, {_PARTS}, j AS (SELECT series, x - avg(x) OVER w AS dx, y - avg(y) OVER w AS dy FROM e JOIN x USING (month) WINDOW w AS (PARTITION BY series, month(month))) SELECT series, round(regr_slope(dy, dx), 6) AS slope, count(*) AS n FROM j GROUP BY 1"
+ORACLE_SQL["regression_seasonal"] = f"""WITH {LEDGER_SQL}, {_PARTS}, j AS (SELECT series, y AS whole, month(month) AS slot, x - avg(x) OVER w AS dx, y - avg(y) OVER w AS dy FROM e JOIN x USING (month) WINDOW w AS (PARTITION BY series, month(month))),
+  f AS (SELECT series, regr_slope(dy, dx) AS b, 1 - (regr_syy(dy, dx) - regr_sxy(dy, dx) ** 2 / regr_sxx(dy, dx)) / (var_pop(whole) * count(*)) AS r2, count(*) AS n, count(DISTINCT slot) AS k FROM j GROUP BY 1)
+  SELECT series, round(b, 6) AS slope, round(r2, 6) AS r2, round(1 - (1 - r2) * (n - 1) / (n - k - 1), 6) AS adjusted_r2, n FROM f WHERE n > k + 1"""
 
 
 @query()
@@ -469,27 +563,56 @@ def registry_counts(ledger: DataFrame) -> DataFrame:
     return registry.build(ledger).select("kind", "name", "n_rows")
 
 
-@query()
+@query("SELECT 'department' AS kind, department_name AS name, CAST(1.0 AS DOUBLE) AS score, count(*) AS n_rows FROM ledger WHERE split_part(department_name, ' : ', 2) = 'NATION_3' GROUP BY 2")
 def registry_lookup(ledger: DataFrame) -> DataFrame:
-    return registry.lookup(registry.build(ledger), "nation_3")
+    return registry.lookup(registry.build(ledger), "nation_3").where("score >= 0.5")
+
 
+_ASKED = ["Operating Expenses", "r&d", "invoices", "nation_3", "brand#12", "unheard of"]
 
-def _ask(question: str):
-    spec = parser.parse(question, AS_OF, ["EUROPE (Parent) : NATION_3", "EUROPE (Parent) : NATION_8", "ASIA (Parent) : NATION_12"])
-    return lambda ledger: compiler.compile_spec(ledger, spec)
 
+@query("""SELECT term, choice, kind, value FROM (VALUES ('operating expenses', NULL, 'account_prefix', '5'), ('invoices', NULL, 'type', 'CustInvc'), ('unheard of', NULL, NULL, NULL),
+    ('r&d', 'research and development accounts (52)', 'account_prefix', '52'), ('r&d', 'accounts named R&D', 'account_name', 'r&d'), ('r&d', 'both', 'account_prefix', '52'), ('r&d', 'both', 'account_name', 'r&d')) t(term, choice, kind, value)
+  UNION ALL SELECT DISTINCT 'nation_3', NULL, 'department', department_name FROM ledger WHERE split_part(department_name, ' : ', 2) = 'NATION_3'
+  UNION ALL SELECT DISTINCT 'brand#12', NULL, 'account', account_name FROM ledger WHERE lower(split_part(account_name, ' : ', 2)) = 'brand#12'""")
+def resolve_terms(ledger: DataFrame) -> DataFrame:
+    asked = ledger.sparkSession.createDataFrame([(x,) for x in _ASKED], "term string")
+    return semantics.resolve(asked, registry.build(ledger))
 
-def _question(name: str, question: str, sql: str) -> None:
-    f = lambda ledger: _ask(question)(ledger)
+
+# Questions in structured form; the period of the sample ledger follows from the date.
+def _question(name: str, spec: QuerySpec, sql: str) -> None:
+    f = lambda ledger: compiler.compile_spec(ledger, spec)
     f.__name__ = name
-    query(sql)(f)
+    query(sql if not sql.startswith("WITH") else None)(f)
+    if sql.startswith("WITH"):
+        ORACLE_SQL[name] = sql
+
+
+_NATION_3 = "split_part(department_name, ' : ', 2) = 'NATION_3'"
+_question("ask_total", QuerySpec(Intent.TOTAL, FY, prefixes=("5",)), f"SELECT coalesce({SUM}, 0) AS total, count(*) AS n FROM ledger WHERE {_days(FY)} AND {OPEX}")
+_question("ask_top", QuerySpec(Intent.TOP_N, FY, group_by=("account_name",), top_n=5), f"SELECT account_name, {SUM} AS total, count(*) AS n FROM ledger WHERE {_days(FY)} GROUP BY 1 ORDER BY abs(total) DESC, account_name LIMIT 5")
+_question("ask_compare", QuerySpec(Intent.COMPARISON, YTD, departments=("Nation_3", "Nation_8"), prefixes=("5",), compare_departments=True), f"SELECT department_name, {SUM} AS total, count(*) AS n FROM ledger WHERE {_days(YTD)} AND {OPEX} AND split_part(department_name, ' : ', 2) IN ('NATION_3', 'NATION_8') GROUP BY 1")
+_question("ask_yoy", QuerySpec(Intent.VARIANCE, YTD, comparison="yoy", comparison_period=LAST_YTD, prefixes=("4",), group_by=("department_name",)), compare_sql("department_name", "account_number LIKE '4%'"))
+_question("ask_trend", QuerySpec(Intent.TREND, FY, prefixes=("53",)), f"SELECT strftime(trandate, '%Y-%m') AS period, {SUM} AS total, count(*) AS n, round(CAST(sum(amount) AS DOUBLE) / count(amount), 6) AS mean FROM ledger WHERE {_days(FY)} AND account_number LIKE '53%' GROUP BY 1")
+_TWO = "split_part(department_name, ' : ', 2) IN ('NATION_3', 'NATION_8')"
+_TWO_SUMS = _MARGIN_SUMS.replace("FROM ledger", f"FROM ledger WHERE {_days(FY)} AND {_TWO}")
+_question("ask_ratio", QuerySpec(Intent.RATIO, FY, departments=("Nation_3", "Nation_8"), group_by=("department_name",)), f"SELECT department_name, round((r - c) / r, 6) AS gross_margin, round((r - o) / r, 6) AS operating_margin, round((r - o - x) / r, 6) AS net_margin FROM ({_TWO_SUMS})")
+_question("ask_breakdown", QuerySpec(Intent.BREAKDOWN, FY, prefixes=("5",), group_by=("subsidiary",)), f"SELECT subsidiary, CAST(s AS DOUBLE) AS total, round(CAST(s AS DOUBLE) / CAST(sum(s) OVER () AS DOUBLE), 6) AS share_frac FROM (SELECT subsidiary, sum(amount) AS s FROM ledger WHERE {_days(FY)} AND {OPEX} GROUP BY 1)")
+_question("ask_excluding", QuerySpec(Intent.TOTAL, FY, prefixes=("5",), not_departments=("Nation_3",), not_accounts=("brand#2",), group_by=("type",)), f"SELECT type, {SUM} AS total, count(*) AS n FROM ledger WHERE {_days(FY)} AND {OPEX} AND NOT {_NATION_3} AND lower(account_name) NOT LIKE '%brand#2%' GROUP BY 1")
+_question("ask_regression", QuerySpec(Intent.REGRESSION, departments=("Nation_3",), types=("Journal",)), f"""WITH {LEDGER_SQL}, {_PARTS.replace("WHERE account_number LIKE '4%'", f"WHERE {_NATION_3} AND type = 'Journal' AND account_number LIKE '4%'").replace("WHERE account_number LIKE '5%'", f"WHERE {_NATION_3} AND type = 'Journal' AND account_number[1] IN ('5','6','7','8')")},
+  j AS (SELECT series, x, y FROM e JOIN x USING (month)), f AS (SELECT series, regr_slope(y, x) AS b, regr_sxx(y, x) AS sxx, greatest(regr_syy(y, x) - regr_sxy(y, x) ** 2 / regr_sxx(y, x), 0) AS sse, regr_syy(y, x) AS syy, avg(x) AS mx, avg(y) AS my, count(*) AS n FROM j GROUP BY 1 HAVING count(*) >= 3 AND regr_sxx(y, x) > 0)
+  SELECT series, round(b, 6) AS slope, round(my - b * mx, 6) AS intercept, round(sqrt(sse / (n - 2) / sxx), 6) AS slope_error, round(b / sqrt(sse / (n - 2) / sxx), 6) AS t_value, round(1 - sse / syy, 6) AS r2, round(1 - sse / syy * (n - 1) / (n - 2), 6) AS adjusted_r2, n FROM f""")
+
 
+@query()
+def ask_correlation(ledger: DataFrame) -> DataFrame:
+    """Of one department's costs in one fiscal year: too short for seasons, so r and lag are those of the plain months."""
+    out = compiler.compile_spec(ledger, QuerySpec(Intent.CORRELATION, FY, departments=("Nation_3",)))
+    return out.select("series", "expense_lag_after_revenue", "r", "n")
 
-_question("ask_total", "What is the total operating expenses for FY2000?", f"SELECT coalesce({SUM}, 0) AS total, count(*) AS n FROM ledger WHERE {_days(FY)} AND {OPEX}")
-_question("ask_top", "Show me the top 5 accounts in FY2000", f"SELECT account_name, {SUM} AS total, count(*) AS n FROM ledger WHERE {_days(FY)} GROUP BY 1 ORDER BY abs(total) DESC, account_name LIMIT 5")
-_question("ask_compare", "Compare Nation_3 vs Nation_8 expenses YTD", f"SELECT department_name, {SUM} AS total, count(*) AS n FROM ledger WHERE {_days(YTD)} AND {OPEX} AND split_part(department_name, ' : ', 2) IN ('NATION_3', 'NATION_8') GROUP BY 1")
-_question("ask_yoy", "revenue by department year over year YTD", compare_sql("department_name", "account_number LIKE '4%'"))
-_question("ask_trend", "trend of sales and marketing in FY2000", f"SELECT strftime(trandate, '%Y-%m') AS period, {SUM} AS total, count(*) AS n, round(CAST(sum(amount) AS DOUBLE) / count(amount), 6) AS mean FROM ledger WHERE {_days(FY)} AND account_number LIKE '53%' GROUP BY 1")
+
+ORACLE_SQL["ask_correlation"] = _drivers_sql(f"{_days(FY)} AND {_NATION_3}", "SELECT * FROM best")
 
 
 # Streams, as tables.
@@ -498,6 +621,30 @@ def events_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.daily(tables(spark, sf_dir, "events")[0])
 
 
+_TRACED = "(SELECT CAST(ts AS DATE) AS day, CASE event_type WHEN 'error' THEN 'error' WHEN 'click' THEN 'fail' ELSE 'success' END AS status, value FROM events)"
+
+
+def _traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as traces: their value stands for duration and cost."""
+    status = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "click", "fail").otherwise("success")
+    return tables(spark, sf_dir, "events")[0].select(F.col("ts").alias("start_time"), status.alias("status"), F.col("value").alias("duration_ms"), F.struct(F.col("value").alias("cost"), F.length("event_type").cast("long").alias("total_tokens")).alias("metrics"))
+
+
+for _by in ([], ["status"], ["day"], ["day", "status"]):
+
+    def _stats(spark: SparkSession, sf_dir: str, by: list[str] = _by) -> DataFrame:
+        return events.trace_stats(_traces(spark, sf_dir), *by).drop("mean_tokens")
+
+    _stats.__name__ = "_".join(["trace_stats", *_by])
+    _keys = "".join(f"CAST({c} AS VARCHAR) AS {c}, " for c in _by)
+    query(f"SELECT {_keys}count(*) AS n, round(avg(CASE WHEN status = 'success' THEN 1.0 ELSE 0.0 END), 6) AS success_rate, round(sum(value), 6) AS cost, round(avg(value), 6) AS mean_ms FROM {_TRACED} GROUP BY ALL", ledger=False)(_stats)
+
+
+@query(f"SELECT count(*) AS n, count(*) FILTER (status = 'success') AS passed, count(*) FILTER (status = 'fail') AS failed, count(*) FILTER (status = 'error') AS errors, round(count(*) FILTER (status = 'success') / count(*), 6) AS pass_rate FROM {_TRACED}", ledger=False)
+def suite_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.suite_stats(_traces(spark, sf_dir).withColumn("status", F.regexp_replace("status", "success", "PASS")))
+
+
 @query("""SELECT user_id, min(ts) AS started, max(ts) AS last_event, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM
   (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s""", ledger=False)
 def events_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,6 +66,16 @@ ledger AS (
 """
 
 
+def sql_over(ledger: DataFrame, text: str, name: str = "ledger") -> DataFrame:
+    """The result of a SQL query in which ``{ledger}`` stands for the ledger."""
+    return ledger.sparkSession.sql(text, **{name: ledger})
+
+
+def account_list(ledger: DataFrame, limit: int = 100) -> DataFrame:
+    """The first accounts by number, each with its (greatest) name."""
+    return ledger.where("account_number is not null").groupBy("account_number").agg(F.max("account_name").alias("account_name")).orderBy("account_number").limit(limit)
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """The rows of paged JSON responses (``results`` arrays), every page of a folder in parallel; page order is not kept."""
     pages = spark.read.option("multiLine", "true").json(path)
@@ -103,7 +113,7 @@ def profile(df: DataFrame, *numeric: str) -> DataFrame:
 
 
 class ResultCache:
-    """Persisted results by query hash, for ``ttl`` seconds; an unfiltered base answers any filter."""
+    """Persisted results by query hash, for ``ttl`` seconds.  ``filtered`` answers any filter from a kept base."""
 
     def __init__(self, ttl: float = 900, clock=time.time):
         self.ttl, self.clock, self.held = ttl, clock, {}
@@ -120,6 +130,10 @@ class ResultCache:
             self.held[key] = (now, build().persist())
         return self.held[key][1]
 
+    def filtered(self, base: object, build, predicate) -> DataFrame:
+        """Rows of the base (kept under its own key) for which the predicate holds: the source is read once for all filters."""
+        return self.get(base, build).where(predicate)
+
     def clear(self) -> None:
         while self.held:
             self.held.popitem()[1][1].unpersist()

@@ -22,9 +22,16 @@ def search(df: DataFrame, status: str | None = None, text: str | None = None) ->
     return df
 
 
-def trace_stats(df: DataFrame) -> DataFrame:
+def trace_stats(df: DataFrame, *by: str) -> DataFrame:
+    """Over all traces, or per status, day (of ``start_time``) or both."""
+    keys = [F.to_date("start_time").alias("day") if c == "day" else F.col(c) for c in by]
     ok = F.avg(F.when(F.col("status") == "success", 1.0).otherwise(0.0))
-    return df.agg(F.count("*").alias("n"), F.round(ok, 6).alias("success_rate"), F.round(F.sum("metrics.cost"), 6).alias("cost"), F.round(F.avg("duration_ms"), 6).alias("mean_ms"), F.round(F.avg("metrics.total_tokens"), 6).alias("mean_tokens"))
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.round(ok, 6).alias("success_rate"), F.round(F.sum("metrics.cost"), 6).alias("cost"), F.round(F.avg("duration_ms"), 6).alias("mean_ms"), F.round(F.avg("metrics.total_tokens"), 6).alias("mean_tokens"))
+
+
+def first_seen(df: DataFrame, key: list[str], time: str = "ts", ttl: str = "30 minutes") -> DataFrame:
+    """Of a stream's events with one key those that come after ``ttl`` of silence; older state is dropped."""
+    return df.withWatermark(time, ttl).dropDuplicatesWithinWatermark(key)
 
 
 def daily(df: DataFrame, time: str = "ts", delay: str = "1 day") -> DataFrame:
