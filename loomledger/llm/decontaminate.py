@@ -1,25 +1,31 @@
-"""Benchmark decontamination: BM25 with block-max pruning, then question and answer overlap.
+"""Benchmark decontamination: a BM25 inverted index of test items, block-max WAND, question and answer overlap.
 
-The test items are the indexed side: terms with their postings, cut into blocks of ``ITEMS_PER_BLOCK``
-items, each block with the greatest weight of each of its terms.  Every training passage (windows of
-twice the longest item, overlapping by half, over whole texts) is a query.  Weights are divided by the
-item's score against itself, so one threshold holds for all items: a block whose maxima cannot reach
-it for a passage is skipped, the others are scored exactly, and all items at or above the threshold
-are retrieved.  A retrieved item counts when the passage holds at least ``overlap`` of the 5-word
-shingles of its question (all but the last line or sentence) and of its answer (the last).
+The test items are the indexed side.  Spark counts document frequencies, lengths and every item's term
+weights over all items; a weight is divided by its item's score against itself, so one threshold holds for
+all items.  An index holds the postings of a bounded share of the items (``slice_postings``): for each
+term its items and weights, cut into blocks of ``ITEMS_PER_BLOCK`` items with the greatest weight in each,
+and its greatest weight of all.  The statistics are those of all items, so slices change no result.
 
-The index holds a bounded slice of the benchmark (``slice_bytes`` of text); a larger benchmark is
-worked off slice by slice, each against all documents.  Term statistics are those of the slice.
+Every training passage (windows of twice the longest item, overlapping by half, over whole texts) is a
+query; the passages of a batch are searched together:
+
+1. A passage's terms are ordered by their greatest weight.  The least of them, up to half the threshold
+   together, are skipped: an item needs another half from the terms behind this pivot.
+2. Only these terms' blocks are visited.  A block whose maxima, with all that was skipped, stay below the
+   threshold is passed over.
+3. The items of other blocks are scored exactly, and all at or above the threshold are retrieved.
+
+A retrieved item counts when the passage holds at least ``overlap`` of the 5-word shingles of its
+question (all but the last line or sentence) and of its answer (the last).
 
 Edge cases: items without words match nothing; an item of one sentence is its own question and
 answer; parts of fewer than five words are one shingle; null and empty texts have no passages;
-repeated documents or items give one row per distinct pair of ids.
+repeated documents or items give one row per distinct pair of ids; of equal scores the first passage counts.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import Workspace, texts
 
 ITEMS_PER_BLOCK = 8
 _WORD = re.compile(r"\w+")
@@ -61,77 +67,116 @@ def held(part: list[str], passage: list[str]) -> float:
     return len(want & have) / len(want) if want else 0.0
 
 
-class BlockMaxIndex:
-    def __init__(self, items: list[tuple[int, str]], k1: float = 1.2, b: float = 0.75):
-        items = sorted((i, t) for i, t in items if words(t))
-        self.ids = [i for i, _ in items]
-        self.parts = [question_and_answer(t) for _, t in items]
-        tokens = [words(t) for _, t in items]
-        self.span = max(map(len, tokens), default=0)
-        df = Counter(w for t in tokens for w in set(t))
-        self.terms = {w: k for k, w in enumerate(sorted(df))}
-        idf = {w: np.log(1 + (len(items) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
-        average = self.span and sum(map(len, tokens)) / len(tokens)
-        self.weights: list[dict[int, float]] = []
-        for t in tokens:
-            raw = {self.terms[w]: idf[w] * f * (k1 + 1) / (f + k1 * (1 - b + b * len(t) / average)) for w, f in Counter(t).items()}
-            whole = sum(raw.values())
-            self.weights.append({w: x / whole for w, x in raw.items()})
-        # Per block of items: its terms, for each the greatest weight, and the weights by item.
-        self.blocks = []
-        for at in range(0, len(items), ITEMS_PER_BLOCK):
-            own = self.weights[at : at + ITEMS_PER_BLOCK]
-            known = np.unique([w for x in own for w in x])
-            exact = np.zeros((len(known) + 1, len(own)), np.float32)
-            for k, x in enumerate(own):
-                exact[np.searchsorted(known, list(x)), k] = list(x.values())
-            slot = np.full(len(self.terms) + 1, len(known), np.int32)
-            slot[known] = np.arange(len(known))
-            self.blocks.append((at, slot, exact.max(1), exact))
-
-    def search(self, passages: np.ndarray, threshold: float) -> Iterator[tuple[int, int, float]]:
-        """``passage, item, score`` of all at or above the threshold; each row has distinct terms, padded with -1."""
-        for at, slot, best, exact in self.blocks:
-            spots = slot[passages]  # -1 is the last slot, which weighs nothing
-            for p in np.flatnonzero(best[spots].sum(1) >= threshold - 1e-6):
-                scores = exact[spots[p]].astype(np.float64).sum(0)
-                for k in np.flatnonzero(scores >= threshold - 1e-6):
-                    yield int(p), at + int(k), float(scores[k])
-
-
-def _scan(index: BlockMaxIndex, threshold: float, overlap: float):
+class WandIndex:
+    """Postings of ``(item id, text, {term: weight})`` rows.
+
+    ``starts[t]:starts[t + 1]`` are the blocks of term t in ``blocks``, with their maxima in ``best``.
+    """
+
+    def __init__(self, items: list[tuple[int, str, dict[str, float]]]):
+        items = sorted(items, key=lambda x: (x[0], x[1]))
+        self.ids, self.parts = [i for i, _, _ in items], [question_and_answer(t) for _, t, _ in items]
+        self.weights = [w for _, _, w in items]
+        self.terms = {t: k for k, t in enumerate(sorted({t for w in self.weights for t in w}))}
+        postings = sorted((self.terms[t], k // ITEMS_PER_BLOCK, x) for k, w in enumerate(self.weights) for t, x in w.items())
+        term, block = (np.array([p[c] for p in postings], np.int64) for c in (0, 1))
+        self.n_blocks = -(-len(items) // ITEMS_PER_BLOCK) or 1
+        first = np.flatnonzero(np.diff(term * self.n_blocks + block, prepend=-1))
+        self.blocks = block[first]
+        self.best = np.maximum.reduceat(np.array([p[2] for p in postings]), first) if postings else np.zeros(0)
+        self.starts = np.searchsorted(term[first], np.arange(len(self.terms) + 1))
+        self.greatest = np.maximum.reduceat(self.best, self.starts[:-1]) if postings else np.zeros(0)
+
+    def search(self, owner: np.ndarray, term: np.ndarray, threshold: float) -> Iterator[tuple[int, int, float]]:
+        """``passage, item, score`` of all at or above the threshold, from distinct (passage, term) pairs."""
+        if not len(owner):
+            return
+        least = threshold - 1e-9
+        most = self.greatest[term]
+        order = np.lexsort((most, owner))
+        owner, term, most = owner[order], term[order], most[order]
+        begins = np.flatnonzero(np.diff(owner, prepend=-1))
+        each = np.diff(np.append(begins, len(owner)))
+        total = np.cumsum(most)
+        within = total - np.repeat(total[begins] - most[begins], each)
+        behind = within >= least / 2  # at or behind the pivot
+        skipped = np.bincount(owner[~behind], most[~behind], owner[-1] + 1)
+        o, t = owner[behind], term[behind]
+        count = self.starts[t + 1] - self.starts[t]
+        at = np.repeat(self.starts[t] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        places, which = np.unique(np.repeat(o, count) * self.n_blocks + self.blocks[at], return_inverse=True)
+        bound = np.bincount(which, self.best[at], len(places)) + skipped[places // self.n_blocks]
+        ends = dict(zip(owner[begins].tolist(), zip(begins.tolist(), (begins + each).tolist())))
+        names = list(self.terms)
+        held_by: tuple[int, set[str]] = (-1, set())
+        for place in places[bound >= least].tolist():
+            passage, block = divmod(place, self.n_blocks)
+            if held_by[0] != passage:
+                a, b = ends[passage]
+                held_by = passage, {names[x] for x in term[a:b].tolist()}
+            for k in range(block * ITEMS_PER_BLOCK, min(len(self.ids), (block + 1) * ITEMS_PER_BLOCK)):
+                score = sum(x for w, x in self.weights[k].items() if w in held_by[1])
+                if score >= least:
+                    yield passage, k, score
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [words(t) for t in batch.column(1).to_pylist()]
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.string()))], ["item_id", "text", "words"])
+
+
+def weighted_items(ws: Workspace, items: DataFrame, k1: float, b: float) -> tuple[DataFrame, int, int]:
+    """``item, item_id, text, weights`` of all items (``doc_id, text``), the words of the longest, and how many postings there are."""
+    tokens = items.mapInArrow(_words, "item_id long, text string, words array<string>").where(F.size("words") > 0)
+    tokens = ws.table(tokens.withColumn("item", F.xxhash64("item_id", "text")), "items")
+    whole = tokens.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean"), F.max(F.size("words")).alias("span")).first()
+    counts = tokens.select("item", F.size("words").alias("size"), F.explode("words").alias("w")).groupBy("item", "size", "w").agg(F.count("*").alias("f"))
+    counts = ws.table(counts, "counts")
+    idf = F.log(1 + (whole.n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    among = counts.groupBy("w").agg(F.count("*").alias("df")).select("w", idf.alias("idf"))
+    raw = F.col("idf") * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("size") / F.lit(whole.mean)))
+    # An item has as many terms as it has words at most.
+    lists = counts.join(among, "w").groupBy("item").agg(F.collect_list(F.struct("w", raw.alias("x"))).alias("all"), F.sum(raw).alias("whole"))
+    weights = F.map_from_entries(F.transform("all", lambda p: F.struct(p["w"], p["x"] / F.col("whole")))).alias("weights")
+    out = ws.table(tokens.drop("words").join(lists.select("item", weights), "item"), "weights")
+    return out, whole.span or 0, counts.count()
+
+
+def _scan(shared, span: int, threshold: float, overlap: float):
     names = ["doc_id", "item_id", "word_start", "score", "question_overlap", "answer_overlap"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-    span = max(1, index.span)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
         get = index.terms.get
         for batch in batches:
-            docs, tokens = batch.column(0).to_pylist(), [words(t) for t in batch.column(1).to_pylist()]
-            owner, begins, windows, out = [], [], [], []
+            docs, out = batch.column(0).to_pylist(), []
+            at: list[tuple[int, int, list[str]]] = []  # document, first word and words of each passage
+            pairs: list[np.ndarray] = []
 
             def search():
-                if not windows:
+                if not pairs:
                     return
-                rows = np.sort(np.stack(windows), 1)  # distinct terms of each passage
-                rows[:, 1:][rows[:, 1:] == rows[:, :-1]] = -1
-                for p, item, score in index.search(rows, threshold):
-                    k, begin = owner[p], begins[p]
+                pair = np.concatenate(pairs)
+                for p, item, score in index.search(pair >> 32, pair & 0xFFFFFFFF, threshold):
+                    k, begin, passage = at[p]
                     question, answer = index.parts[item]
-                    passage = tokens[k][begin : begin + 2 * span]
                     q, a = held(question, passage), held(answer, passage)
                     if q >= overlap and a >= overlap:
                         out.append((docs[k], index.ids[item], begin, round(score, 6), q, a))
-                owner.clear(), begins.clear(), windows.clear()
+                at.clear(), pairs.clear()
 
-            for k, t in enumerate(tokens):
-                ids = np.array([get(w, -1) for w in t], np.int32)
+            for k, text in enumerate(batch.column(1)):
+                tokens = words(text.as_py())
+                ids = np.array([get(w, -1) for w in tokens], np.int64)
                 for begin in range(0, max(len(ids) - span, 1), span):
-                    window = np.full(2 * span, -1, np.int32)
-                    part = ids[begin : begin + 2 * span]
-                    window[: len(part)] = part
-                    owner.append(k), begins.append(begin), windows.append(window)
-                    if len(windows) == 2048:
+                    part = np.unique(ids[begin : begin + 2 * span])
+                    part = part[part >= 0]
+                    if len(part):
+                        pairs.append(part | (len(at) << 32))
+                        at.append((k, begin, tokens[begin : begin + 2 * span]))
+                    if len(at) == 1024:
                         search()
             search()
             yield pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*out) if out else [[]] * 6, kinds)], names)
@@ -139,18 +184,22 @@ def _scan(index: BlockMaxIndex, threshold: float, overlap: float):
     return run
 
 
-def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: float = 0.8, slice_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: float = 0.8, k1: float = 1.2, b: float = 0.75, slice_postings: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``doc_id, item_id, word_start, score, question_overlap, answer_overlap``: the best passage of each pair."""
+    spark = docs.sparkSession
+    ws = Workspace(spark)
     base = texts(docs, id_col, text_col)
-    items = texts(items, item_id_col, item_text_col).dropDuplicates()
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    slices = -(-size // slice_bytes) or 1
-    dealt = items.withColumn("slice", F.pmod(F.xxhash64("doc_id", "text"), F.lit(slices)))
+    weighted, span, postings = weighted_items(ws, texts(items, item_id_col, item_text_col).dropDuplicates(), k1, b)
+    slices = -(-postings // slice_postings) or 1
+    schema = "doc_id long, item_id long, word_start long, score double, question_overlap double, answer_overlap double"
     found = None
     for k in range(slices):  # each slice is bounded; one is the rule
-        rows = dealt.where(F.col("slice") == k).select("doc_id", "text").collect()
-        index = BlockMaxIndex([(r[0], r[1]) for r in rows])
-        part = base.mapInArrow(_scan(index, threshold, overlap), "doc_id long, item_id long, word_start long, score double, question_overlap double, answer_overlap double")
+        rows = weighted.where(F.pmod("item", F.lit(slices)) == k).select("item_id", "text", "weights").collect()
+        shared = spark.sparkContext.broadcast(WandIndex([tuple(r) for r in rows]))
+        part = base.mapInArrow(_scan(shared, max(1, span), threshold, overlap), schema)
+        if slices > 1:
+            part = ws.table(part, "found")
+            shared.unpersist()
         found = part if found is None else found.union(part)
     best = F.max(F.struct("score", (-F.col("word_start")).alias("minus"), "question_overlap", "answer_overlap")).alias("b")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("b.minus")).alias("word_start"), "b.score", "b.question_overlap", "b.answer_overlap")

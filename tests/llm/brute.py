@@ -136,3 +136,35 @@ def line_dedup(docs, similarity=0.8, min_words=5):
         kept = [line for k, line in enumerate(x) if (d, k) not in gone]
         out[d] = (len(x), len(x) - len(kept), "\n".join(kept))
     return out
+
+
+def contaminated(docs, items, threshold, overlap, k1=1.2, b=0.75):
+    """(doc_id, item_id) -> (word_start, score, question_overlap, answer_overlap), scoring every passage against every item."""
+    split = lambda t: re.findall(r"\w+", (t or "").lower())
+    items = [(i, t) for i, t in dict.fromkeys(items) if split(t)]
+    tokens = [split(t) for _, t in items]
+    mean, span = sum(map(len, tokens)) / len(tokens), max(map(len, tokens))
+    df = Counter(w for t in tokens for w in set(t))
+    weights = []
+    for t in tokens:
+        raw = {w: math.log(1 + (len(items) - df[w] + 0.5) / (df[w] + 0.5)) * f * (k1 + 1) / (f + k1 * (1 - b + b * len(t) / mean)) for w, f in Counter(t).items()}
+        weights.append({w: x / sum(raw.values()) for w, x in raw.items()})
+
+    def share(part, passage):
+        n = min(5, len(part))
+        grams = lambda x: {tuple(x[i : i + n]) for i in range(len(x) - n + 1)}
+        return len(grams(part) & grams(passage)) / len(grams(part))
+
+    out = {}
+    for d, text in docs:
+        x = split(text)
+        for at in range(0, max(len(x) - span, 1), span):
+            passage = x[at : at + 2 * span]
+            for (i, t), w in zip(items, weights):
+                score = sum(v for k, v in w.items() if k in set(passage))
+                *question, answer = t.split("\n")
+                q, a = share(split(" ".join(question)), passage), share(split(answer), passage)
+                if score >= threshold - 1e-9 and q >= overlap and a >= overlap:
+                    new = (score, -at, q, a)
+                    out[d, i] = max(out.get((d, i), new), new)
+    return {k: (-at, round(s, 5), q, a) for k, (s, at, q, a) in out.items()}

@@ -217,15 +217,16 @@ def test_decontamination(spark):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == {(2, 3), (5, 7)}
 
 
-def test_block_max_search_is_exact():
-    items = [(k, prose(25, 700 + k, 60)) for k in range(40)]
-    index = decontaminate.BlockMaxIndex(items)
-    passages = np.full((30, 50), -1, np.int32)
-    for k in range(30):
-        terms = sorted({index.terms[w] for w in decontaminate.words(prose(30, 700 + k, 60)) if w in index.terms})
-        passages[k, : len(terms)] = terms
-    want = {(p, i) for p in range(30) for i, w in enumerate(index.weights) if sum(w.get(t, 0) for t in passages[p] if t >= 0) >= 0.4}
-    assert {(p, i) for p, i, _ in index.search(passages, 0.4)} == want and want
+@pytest.mark.parametrize("slice_postings", [1 << 20, 90])
+def test_decontamination_equals_plain_bm25(spark, slice_postings):
+    """The same rows whatever the slices of the index, and those of a plain BM25 over all items."""
+    items = [(k, f"{prose(6 + k % 20, 500 + k, 60)}?\n{prose(4, 600 + k, 60)}.") for k in range(30)] + [(40, None), (41, "?!"), (3, f"{prose(9, 503, 60)}?\n{prose(4, 603, 60)}.")]
+    docs = [(k, f"{prose(60, k, 60)} {items[k % 30][1] if k % 3 else ''} {prose(90, 90 + k, 60)}") for k in range(40)] + [(50, None), (51, ""), (52, " ".join(t for _, t in items[:25]))]
+    docs.append(docs[4])
+    table = spark.createDataFrame(items, "item_id long, text string").withColumn("words", F.lit(1)).withColumn("weights", F.lit(2))
+    got = decontaminate.contaminated(frame(spark, docs), table, threshold=0.5, overlap=0.3, slice_postings=slice_postings)
+    rows = {(r.doc_id, r.item_id): (r.word_start, round(r.score, 5), r.question_overlap, r.answer_overlap) for r in got.collect()}
+    assert rows == brute.contaminated(docs, items, 0.5, 0.3) and len(rows) > 20
 
 
 def test_language_model(spark, docs):
