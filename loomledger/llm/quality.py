@@ -11,10 +11,11 @@ Line rules, for lines that have a word:
 * punctuation: fewer than ``short_line`` words and no terminal mark at the end;
 * navigation: at least three separators (``| » › • ·``), or on average one for every three words;
 * symbols: more than one of ``#*$%&<>`` for every four words, or mostly upper-case with ``!!`` marks;
-* boilerplate: one of the fixed phrases below, as whole words, in a line of at most ``boilerplate_words`` words.
+* boilerplate, in lines of at most ``boilerplate_words`` words: one of the fixed phrases below, as whole words, a copyright
+  mark with its year, or nothing but an address or a page counter.
 
 Edge cases: null and empty texts have no words, so they fail the base; a document of which
-no text is left is rejected; very long texts cost n log n, never n squared.
+no text is left is rejected; rows are judged one by one, so repeated rows and ids give a row each; very long texts cost n log n, never n squared.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import texts, words_column
 
-# Phrases that mark boilerplate lines.
+# Phrases that mark boilerplate lines, in English, French, German and Spanish.
 BOILERPLATE = (
     "all rights reserved",
     "licensed under",
@@ -48,7 +49,27 @@ BOILERPLATE = (
     "click here",
     "read more",
     "skip to content",
+    "tous droits réservés",
+    "conditions d'utilisation",
+    "politique de confidentialité",
+    "mentions légales",
+    "lire la suite",
+    "se connecter",
+    "alle rechte vorbehalten",
+    "nutzungsbedingungen",
+    "datenschutzerklärung",
+    "impressum",
+    "weiterlesen",
+    "jetzt anmelden",
+    "todos los derechos reservados",
+    "condiciones de uso",
+    "política de privacidad",
+    "aviso legal",
+    "leer más",
+    "iniciar sesión",
 )
+# A copyright line in any language, a bare address, a counter such as "page 3 of 12" or "3 / 12".
+STRUCTURE = r"(?:©|\(c\)|copyright)\s*\d{4}|^\s*(?:https?://|www\.)\S+\s*$|^\s*[\p{L}.]*\s*\d+\s*(?:/|of|de|sur|von)\s*\d+\s*$"
 # Marks that may end a sentence, and marks that separate menu items.
 TERMINAL = r"[.!?…。！？:;\"'”’»)\]]\s*$"
 SEPARATORS = "|»›•·"
@@ -120,9 +141,9 @@ def line_fails(line: Column, n: Column, rules: QualityRules = QualityRules()) ->
 
 
 def is_boilerplate(line: Column, n: Column, rules: QualityRules = QualityRules()) -> Column:
-    """Whether a line of ``n`` words is short and holds one of the phrases."""
+    """Whether a line of ``n`` words is short and holds one of the phrases or has the form of a notice."""
     whole = r"(?<![\p{L}\p{N}_])(?:" + "|".join(BOILERPLATE) + r")(?![\p{L}\p{N}_])"
-    return (n <= rules.boilerplate_words) & _let(F.lower(line), lambda low: reduce(lambda a, b: a | b, (low.contains(p) for p in BOILERPLATE)) & low.rlike(whole))
+    return (n <= rules.boilerplate_words) & _let(F.lower(line), lambda low: reduce(lambda a, b: a | b, (low.contains(p) for p in BOILERPLATE)) & low.rlike(whole) | low.rlike(STRUCTURE))
 
 
 def clean(docs: DataFrame, rules: QualityRules = QualityRules(), id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:

@@ -112,6 +112,16 @@ def test_quality_loss_counts_boilerplate(spark):
     assert rows[2].kept and rows[2].clean_text == whole
 
 
+def test_quality_notices(spark):
+    good = "The council met on Tuesday and agreed to repair the old bridge before winter comes."
+    other = "Traffic will use the ferry until the first lorries can cross in March."
+    notices = ["Tous droits réservés par la maison d'édition de la ville.", "Alle Rechte vorbehalten, auch die der Übersetzung.", "Copyright 2019 by the bridge office of the county.", "https://example.org/a", "Seite 3 von 12", "Todos los derechos reservados por la ciudad."]
+    kept = ["In 2019 they had 3 of 12 votes for the new copyright law.", "See https://example.org/a for the plans of the bridge."]
+    text = "\n".join([good, *notices, other, *kept, good + " Again.", other + " Again."])
+    (row,) = quality.clean(frame(spark, [(1, text)])).collect()
+    assert row.clean_text == "\n".join([good, other, *kept, good + " Again.", other + " Again."])
+
+
 def test_token_file(spark, docs, tmp_path):
     path = str(tmp_path / "ids")
     token_file.write_token_file(spark, frame(spark, docs), path, WORD)
