@@ -54,7 +54,7 @@ def connected_components(ws: Workspace, edges: DataFrame, rounds: int = 60) -> D
     """``node, root``: the least member of each node's component.
 
     ``edges``: two long columns.  Self-loops and repeated edges are fine; nodes without an edge to
-    another node, and roots themselves, have no row.
+    another node, and roots themselves, have no row.  The caller drops the result's table.
     """
     a, b = (F.col(c) for c in edges.columns[:2])
     edges = edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where(a != b)
@@ -63,7 +63,9 @@ def connected_components(ws: Workspace, edges: DataFrame, rounds: int = 60) -> D
     for _ in range(rounds):
         new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if new == mark or not new[0]:
-            return now.select(F.col("v").alias("node"), F.col("u").alias("root"))
+            out = now.select(F.col("v").alias("node"), F.col("u").alias("root"))
+            out._loom_path = now._loom_path
+            return out
         mark = new
         both = now.union(now.select("v", "u")).toDF("n", "x")
         least = both.groupBy("n").agg(F.min("x").alias("m")).select("n", F.least("n", "m").alias("m"))

@@ -12,8 +12,8 @@ query; the passages of a batch are searched together:
 1. A passage's terms are ordered by their greatest weight.  The least of them, up to half the threshold
    together, are skipped: an item needs another half from the terms behind this pivot.
 2. Only these terms' blocks are visited.  A block whose maxima, with all that was skipped, stay below the
-   threshold is passed over.
-3. The items of other blocks are scored exactly, and all at or above the threshold are retrieved.
+   threshold is passed over; in the others the same bound is taken item by item.
+3. What is left is scored exactly, and all items at or above the threshold are retrieved.
 
 A retrieved item counts when the passage holds at least ``overlap`` of the 5-word shingles of its
 question (all but the last line or sentence) and of its answer (the last).
@@ -78,12 +78,14 @@ class WandIndex:
         self.ids, self.parts = [i for i, _, _ in items], [question_and_answer(t) for _, t, _ in items]
         self.weights = [w for _, _, w in items]
         self.terms = {t: k for k, t in enumerate(sorted({t for w in self.weights for t in w}))}
-        postings = sorted((self.terms[t], k // ITEMS_PER_BLOCK, x) for k, w in enumerate(self.weights) for t, x in w.items())
-        term, block = (np.array([p[c] for p in postings], np.int64) for c in (0, 1))
+        postings = sorted((self.terms[t], k, x) for k, w in enumerate(self.weights) for t, x in w.items())
+        term, self.items = (np.array([p[c] for p in postings], np.int64) for c in (0, 1))
+        self.values, block = np.array([p[2] for p in postings]), self.items // ITEMS_PER_BLOCK
         self.n_blocks = -(-len(items) // ITEMS_PER_BLOCK) or 1
         first = np.flatnonzero(np.diff(term * self.n_blocks + block, prepend=-1))
         self.blocks = block[first]
-        self.best = np.maximum.reduceat(np.array([p[2] for p in postings]), first) if postings else np.zeros(0)
+        self.best = np.maximum.reduceat(self.values, first) if postings else np.zeros(0)
+        self.postings = np.append(first, len(postings))
         self.starts = np.searchsorted(term[first], np.arange(len(self.terms) + 1))
         self.greatest = np.maximum.reduceat(self.best, self.starts[:-1]) if postings else np.zeros(0)
 
@@ -104,20 +106,24 @@ class WandIndex:
         o, t = owner[behind], term[behind]
         count = self.starts[t + 1] - self.starts[t]
         at = np.repeat(self.starts[t] - np.cumsum(count) + count, count) + np.arange(count.sum())
-        places, which = np.unique(np.repeat(o, count) * self.n_blocks + self.blocks[at], return_inverse=True)
+        query = np.repeat(o, count)
+        places, which = np.unique(query * self.n_blocks + self.blocks[at], return_inverse=True)
         bound = np.bincount(which, self.best[at], len(places)) + skipped[places // self.n_blocks]
-        ends = dict(zip(owner[begins].tolist(), zip(begins.tolist(), (begins + each).tolist())))
+        open_ = (bound >= least)[which]  # in these blocks, the same bound item by item
+        query, at = query[open_], at[open_]
+        count = self.postings[at + 1] - self.postings[at]
+        at = np.repeat(self.postings[at] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        places, which = np.unique(np.repeat(query, count) * len(self.ids) + self.items[at], return_inverse=True)
+        bound = np.bincount(which, self.values[at], len(places)) + skipped[places // len(self.ids)]
+        spans = dict(zip(owner[begins].tolist(), zip(begins.tolist(), (begins + each).tolist())))
         names = list(self.terms)
-        held_by: tuple[int, set[str]] = (-1, set())
         for place in places[bound >= least].tolist():
-            passage, block = divmod(place, self.n_blocks)
-            if held_by[0] != passage:
-                a, b = ends[passage]
-                held_by = passage, {names[x] for x in term[a:b].tolist()}
-            for k in range(block * ITEMS_PER_BLOCK, min(len(self.ids), (block + 1) * ITEMS_PER_BLOCK)):
-                score = sum(x for w, x in self.weights[k].items() if w in held_by[1])
-                if score >= least:
-                    yield passage, k, score
+            passage, k = divmod(place, len(self.ids))
+            a, b = spans[passage]
+            known = {names[x] for x in term[a:b].tolist()}
+            score = sum(x for w, x in self.weights[k].items() if w in known)
+            if score >= least:
+                yield passage, k, score
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

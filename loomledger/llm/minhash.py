@@ -200,6 +200,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85, shi
     centrality = ties.groupBy("rep").agg(F.sum("size").alias("weight"))
     family = centrality.join(roots, centrality.rep == roots.node, "left").select("rep", F.coalesce("root", "rep").alias("family"), "weight")
     family = ws.table(family, "families")
+    ws.drop(roots)
     # The centre: the fullest buckets, the least id of several.
     centres = family.groupBy("family").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"))).alias("c"), F.count("*").alias("members"))
     centres = centres.select("family", (-F.col("c.minus")).alias("centre"), "members")
@@ -224,10 +225,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85, shi
     as_right = pool.select("family", "doc_id", "elements", F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), F.col("n_left") - 1)).alias("l"), "r")
     blocks = as_left.unionByName(as_right)
     found = blocks.groupBy("family", "l", "r").applyInPandas(lambda frame: _block_links(frame, percent), "u long, v long")
-    links = found.union(star.where("linked").select("centre", "doc_id"))
+    links = ws.table(found.union(star.where("linked").select("centre", "doc_id")), "links")
+    ws.drop(family, sets, star, ties)
 
     group = connected_components(ws, links)
     class_of = reps.join(group, reps.rep == group.node, "left").select("n", "d1", "d2", F.col("rep").alias("text_class"), F.coalesce("root", "rep").alias("component_id"))
     out = per_doc.drop("bands").join(class_of, ["n", "d1", "d2"], "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("doc_id")).alias("kept"), F.coalesce("text_class", "doc_id").alias("text_class"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("doc_id")).alias("kept"), F.coalesce("text_class", "doc_id").alias("text_class"))
+    out = ws.table(out, "result")
+    ws.drop(per_doc, reps, links, group)
+    return out
