@@ -155,7 +155,7 @@ def aliases(c: Column) -> Column:
     none = F.array().cast("array<string>")
     out = F.array_union(F.array(low, clean), F.filter(F.array_union(F.transform(parts, F.trim), bare), lambda p: F.length(p) > 1))
     out = F.array_union(out, F.when(F.size(bare) == 2, F.array(F.array_join(bare, " "))).otherwise(none))
-    amp = F.array(F.replace(low, F.lit("&"), F.lit(" and ")), F.replace(F.replace(low, F.lit("&"), F.lit("")), F.lit("  "), F.lit(" ")))
+    amp = F.array(F.replace(low, F.lit("&"), F.lit(" and ")), F.replace(F.replace(low, F.lit("&"), F.lit("")), F.lit("  "), F.lit(" ")), F.replace(low, F.lit(" & "), F.lit("")))
     out = F.array_union(out, F.when(low.contains("&"), amp).otherwise(none))
     out = F.array_union(out, F.when((F.size(words) >= 2) & F.length(acronym).between(2, 6), F.array(acronym)).otherwise(none))
     for name, short in ABBREVIATIONS.items():

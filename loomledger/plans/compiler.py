@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from ..operators import aggregate, analysis, filters, series, structure, volatility
 from .spec import Intent, QuerySpec
 
-def conditions(spec: QuerySpec, with_period: bool = True, from_date: bool = True) -> list[tuple[str, str, Column]]:
-    """``from_date``: the period follows from the date (and reaches the scan), else from the posting period."""
+def conditions(spec: QuerySpec, with_period: bool = True, from_date: bool = True, named: bool = True) -> list[tuple[str, str, Column]]:
+    """``from_date``: the period follows from the date (and reaches the scan), else from the posting period.  ``named``: accounts have names, so totals can be told."""
     out: list[tuple[str, str, Column]] = []
     if with_period and spec.period:
         out.append(("period", f"period {spec.period.name}", filters.months(spec.period) if from_date else filters.period(spec.period)))
     if spec.prefixes:
-        out.append(("account", f"account prefix {', '.join(spec.prefixes)}", filters.account_type("prefix", spec.prefixes)))
+        out.append(("account", f"account prefix {', '.join(spec.prefixes)}", filters.account_type("prefix", spec.prefixes, named)))
     if spec.account_names:
         out.append(("account_name", f"account name {', '.join(spec.account_names)}", filters.account_name("contains", spec.account_names)))
     if spec.types:
@@ -33,9 +33,17 @@ def conditions(spec: QuerySpec, with_period: bool = True, from_date: bool = True
     return out
 
 
+def _applied(ledger: DataFrame, spec: QuerySpec, with_period: bool = True) -> DataFrame:
+    return filters.apply(ledger, _conditions_for(ledger, spec, with_period))[0]
+
+
+def _conditions_for(ledger: DataFrame, spec: QuerySpec, with_period: bool = True) -> list[tuple[str, str, Column]]:
+    return conditions(spec, with_period, "trandate" in ledger.columns, "account_name" in ledger.columns)
+
+
 def _both_sides(ledger: DataFrame, spec: QuerySpec) -> DataFrame:
     """Rows of revenue and costs alike: all filters but the accounts asked for."""
-    return filters.apply(ledger, conditions(replace(spec, prefixes=(), account_names=())))[0]
+    return _applied(ledger, replace(spec, prefixes=(), account_names=()))
 
 
 def compile_spec(ledger: DataFrame, spec: QuerySpec, budget: DataFrame | None = None) -> DataFrame:
@@ -46,14 +54,13 @@ def compile_spec(ledger: DataFrame, spec: QuerySpec, budget: DataFrame | None =
     if spec.compare_departments and "department_name" not in dims:
         dims = ["department_name", *dims]
     if spec.comparison == "bva" and budget is not None:
-        part, _ = filters.apply(ledger, conditions(spec))
-        plan, _ = filters.apply(budget, conditions(spec, from_date=False))
+        part, plan = _applied(ledger, spec), _applied(budget, spec)
         return structure.budget_variance(part, plan, [d for d in dims if d in ledger.columns] or ["account_number"])
     if spec.comparison_period is not None:
-        part, _ = filters.apply(ledger, conditions(spec, with_period=False))
+        part = _applied(ledger, spec, with_period=False)
         out = aggregate.compare(part, filters.months(spec.period), filters.months(spec.comparison_period), [d for d in dims if d in ledger.columns])
         return aggregate.top(out, spec.top_n, "current", spec.ascending) if spec.top_n else out
-    part, _ = filters.apply(ledger, conditions(spec))
+    part = _applied(ledger, spec)
     if spec.intent is Intent.TREND and not dims:
         return aggregate.by_period(part, "month").orderBy("period")
     if spec.intent is Intent.RATIO:
@@ -78,4 +85,4 @@ def compile_spec(ledger: DataFrame, spec: QuerySpec, budget: DataFrame | None =
 
 def audit(ledger: DataFrame, spec: QuerySpec) -> list[str]:
     """What was applied, and a warning for what could not be."""
-    return filters.apply(ledger, conditions(spec))[1]
+    return filters.apply(ledger, _conditions_for(ledger, spec))[1]
