@@ -24,7 +24,7 @@ class ChunkEncoder:
     Ids are returned as little-endian uint16 bytes, or uint32 where the vocabulary needs it.
     """
 
-    def __init__(self, path: str, keeps_space: bool, cache_size: int = 350_000):
+    def __init__(self, path: str, keeps_space: bool, cache_size: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
