@@ -6,16 +6,19 @@ hashes of all ``GRAM``-byte strings in a window of ``LENGTH`` bytes the least ma
 a hash can matter.  The stretch of text behind consecutive windows with one anchor is a *context*.
 
 1. Anchors whose hash occurs once are dropped: their windows are unique.
-2. Contexts that occur twice or more as a whole are repeated in full, wherever they occur.
+2. Contexts that occur twice or more as a whole are repeated in full, wherever they occur; only one
+   of the equal ones goes on.
 3. The different contexts of one anchor are suffix-sorted: a merge sort that compares suffixes by
    their common extension, found by binary search over prefix polynomial hashes; extensions are
    verified byte by byte.  The extension to the right is the running minimum along the order, that
    to the left comes from the same hashes; together they say which windows two contexts share.
 4. Anchors with more than ``SORTED`` different contexts go another, equally exact way that splits
-   them over many tasks: their windows are counted by 128-bit hash.
+   them over many tasks: their windows are counted by digest.
 
-Contexts are compared by 128 bits of hash in step 2.  Matches never cross documents: contexts lie
-within one.  What is removed is judged on the input.
+Rows of steps 2 and 4 carry no bytes to verify; what they compare are 128-bit BLAKE2b digests of all the
+bytes, for which no two different texts with one digest are known.  Polynomial hashes only choose
+anchors and speed the sort, whose extensions are verified.  Matches never cross documents: contexts
+lie within one.  What is removed is judged on the input.
 
 Edge cases: texts under ``LENGTH`` bytes stay whole; null texts are empty; a repeated row of one id is another
 occurrence; runs of one character repeat themselves and go like any repeat.
@@ -42,7 +45,7 @@ SPREAD = 128
 GRAM = LENGTH - SPREAD + 1
 SORTED = 64
 SEGMENT = 1 << 18
-_BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
+_BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
 
 
@@ -54,19 +57,26 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-@lru_cache(maxsize=2)
-def _values(which: int) -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=_U) * _U(_BASES[which]))
+@lru_cache(maxsize=1)
+def _values() -> np.ndarray:
+    return mix(np.arange(1, 257, dtype=_U) * _U(_BASE))
+
+
+def digests(data: bytes, starts: np.ndarray, ends: np.ndarray, notes: np.ndarray) -> np.ndarray:
+    """128-bit digests (two integers each) of stretches of ``data``, each followed by its note of four places."""
+    digest = hashlib.blake2b
+    parts = zip(starts.tolist(), ends.tolist(), notes.tolist())
+    return np.frombuffer(b"".join([digest(data[i:j] + b"%4d" % n, digest_size=16).digest() for i, j, n in parts]), "<i8").reshape(-1, 2)
 
 
 class PrefixHash:
     """Polynomial hashes of any stretch of ``data`` from sums over its prefixes."""
 
-    def __init__(self, data: np.ndarray, which: int):
+    def __init__(self, data: np.ndarray):
         size = SEGMENT + LENGTH
-        self.back = _powers(pow(_BASES[which], -1, 1 << 64), size)
+        self.back = _powers(pow(_BASE, -1, 1 << 64), size)
         self.sums = np.zeros(len(data) + 1, _U)
-        np.cumsum(_values(which)[data] * _powers(_BASES[which], size)[: len(data)], out=self.sums[1:])
+        np.cumsum(_values()[data] * _powers(_BASE, size)[: len(data)], out=self.sums[1:])
 
     def of(self, start, end):
         return mix((self.sums[end] - self.sums[start]) * self.back[start])
@@ -83,11 +93,11 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def contexts(data: bytes) -> Iterator[tuple[np.ndarray, ...]]:
-    """Per segment of a text: ``anchor hash, context hash, first window, windows, anchor - first window``."""
+    """Per segment of a text: ``anchor hash, context digest, first window, windows, anchor - first window``."""
     whole = np.frombuffer(data, np.uint8)
     for at in range(0, len(whole) - LENGTH + 1, SEGMENT):
         part = whole[at : at + SEGMENT + LENGTH - 1]
-        one, two = PrefixHash(part, 0), PrefixHash(part, 1)
+        one = PrefixHash(part)
         starts = np.arange(len(part) - GRAM + 1)
         grams = one.of(starts, starts + GRAM)
         low = _U((1 << 20) - 1)  # the position in the low bits makes the leftmost of equals the least
@@ -95,25 +105,24 @@ def contexts(data: bytes) -> Iterator[tuple[np.ndarray, ...]]:
         first = np.concatenate([[0], np.flatnonzero(np.diff(anchor)) + 1])
         last = np.concatenate([first[1:] - 1, [len(anchor) - 1]])
         a = anchor[first]
-        context = mix(two.of(first, last + LENGTH) ^ mix((last - first).astype(_U) * _U(4096) + (a - first).astype(_U)))
-        yield grams[a], context, first + at, last - first + 1, a - first
+        yield grams[a], digests(part.tobytes(), first, last + LENGTH, a - first), first + at, last - first + 1, a - first
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "h", "c", "at", "n", "a"]
+    names = ["doc_id", "h", "c1", "c2", "at", "n", "a"]
     for batch in batches:
         parts: list[list[np.ndarray]] = []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             data = text.encode("utf-8")
             if len(data) >= LENGTH:
                 for h, c, at, n, a in contexts(data):
-                    parts.append([np.full(len(h), doc, np.int64), h.view(np.int64), c.view(np.int64), at, n.astype(np.int16), a.astype(np.int16)])
+                    parts.append([np.full(len(h), doc, np.int64), h.view(np.int64), c[:, 0], c[:, 1], at, n.astype(np.int16), a.astype(np.int16)])
         if parts:
             yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*parts)], names)
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the contexts to sort, and the window hashes of those of crowded anchors."""
+    """The bytes of the contexts to sort, and the window digests of those of crowded anchors."""
     names = ["doc_id", "h", "at", "n", "a", "occurs", "bytes", "w1", "w2"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.int16(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
     for batch in batches:
@@ -125,9 +134,9 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not x["crowded"]:
                     rows.append((doc, x["h"], x["at"], x["n"], x["a"], x["occurs"], part, None, None))
                     continue
-                array, starts = np.frombuffer(part, np.uint8), np.arange(x["n"])
-                hashes = [PrefixHash(array, k).of(starts, starts + LENGTH).view(np.int64).tolist() for k in (0, 1)]
-                rows.extend((doc, x["h"], x["at"] + t, 1, 0, x["occurs"], None, w1, w2) for t, (w1, w2) in enumerate(zip(*hashes)))
+                starts = np.arange(x["n"])
+                windows = digests(part, starts, starts + LENGTH, 0 * starts).tolist()
+                rows.extend((doc, x["h"], x["at"] + t, 1, 0, x["occurs"], None, w1, w2) for t, (w1, w2) in enumerate(windows))
         if rows:
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
@@ -139,7 +148,7 @@ class Suffix:
 
     def __init__(self, data: bytes, anchor: int, n: int, row: tuple[int, int, int]):
         self.data, self.anchor, self.n, self.row = data, anchor, n, row
-        self.sums = PrefixHash(np.frombuffer(data, np.uint8), 0).sums
+        self.sums = PrefixHash(np.frombuffer(data, np.uint8)).sums
         self.spans: list[tuple[int, int]] = []
 
 
@@ -147,7 +156,7 @@ def _same(x: Suffix, y: Suffix, dx: int, dy: int, size: int) -> bool:
     """Whether ``size`` bytes at ``dx`` and ``dy`` have the same hash: sums aligned by a power of the base."""
     px = int(x.sums[dx + size]) - int(x.sums[dx])
     py = int(y.sums[dy + size]) - int(y.sums[dy])
-    power = _powers(_BASES[0], SEGMENT + LENGTH)
+    power = _powers(_BASE, SEGMENT + LENGTH)
     return (px * int(power[dy]) - py * int(power[dx])) & MASK == 0
 
 
@@ -242,14 +251,14 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``doc_id, first, last``: ranges of starts of ``LENGTH``-byte strings that occur elsewhere too."""
     ws = Workspace(spark)
-    found = ws.table(docs.mapInArrow(_find, "doc_id long, h long, c long, at long, n short, a short"), "anchors")
+    found = ws.table(docs.mapInArrow(_find, "doc_id long, h long, c1 long, c2 long, at long, n short, a short"), "anchors")
     often = found.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
     shared = ws.table(found.join(often, "h"), "shared")
     ws.drop(found)
-    each = shared.groupBy("h", "c").agg(F.count("*").alias("occurs"), F.min(F.struct("doc_id", "at")).alias("x"), F.max("n").alias("n"), F.max("a").alias("a"))
+    each = shared.groupBy("h", "c1", "c2").agg(F.count("*").alias("occurs"), F.min(F.struct("doc_id", "at")).alias("x"), F.max("n").alias("n"), F.max("a").alias("a"))
     each = ws.table(each, "contexts")
 
-    whole = shared.join(each.where("occurs > 1").select("h", "c"), ["h", "c"])
+    whole = shared.join(each.where("occurs > 1").select("h", "c1", "c2"), ["h", "c1", "c2"])
     whole = whole.select("doc_id", F.col("at").alias("first"), (F.col("at") + F.col("n") - 1).alias("last"))
 
     mixed = each.groupBy("h").agg(F.count("*").alias("contexts")).where("contexts > 1").select("h", (F.col("contexts") > SORTED).alias("crowded"))
