@@ -65,7 +65,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("payload_bytes", F.col("metadata.payload_bytes").cast("long")).alias("payload_bytes"),
         "payload_digest",
         "record_type",
-        F.when(F.col("metadata.refers_to_page") != "", F.col("metadata.refers_to_page").cast("long")).alias("refers_to"),
+        F.col("original.page_id").cast("long").alias("refers_to"),
     )
 
 

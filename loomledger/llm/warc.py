@@ -79,7 +79,6 @@ def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z",
         F.concat(F.lit("GET "), F.when(path_part == "", "/").otherwise(path_part), F.lit(f" HTTP/1.1{CRLF}{CRLF}")),
     )
     notes = [F.concat(F.lit("page-id: "), page.cast("string")), F.concat(F.lit("payload-bytes: "), F.col("n").cast("string"))]
-    notes.append(F.concat(F.lit("refers-to-page: "), F.when(revisit, F.col("first_id").cast("string")).otherwise("")))
     metadata = _record(
         [
             ("WARC-Type", F.lit("metadata")),
@@ -144,11 +143,16 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 def assemble(records: DataFrame) -> DataFrame:
     """One row per capture: the response or revisit with its ``request`` and ``metadata`` records nested.
 
-    A capture whose request or metadata record is missing keeps a null there; of several request or
+    A revisit has the metadata of the capture that its ``WARC-Refers-To`` names as ``original``, null if the archives
+    lack it.  A capture whose request or metadata record is missing keeps a null there; of several request or
     metadata records for one response, the one with the greatest identifier counts.
     """
     main = records.where(F.col("record_type").isin("response", "revisit")).drop("concurrent_to", "fields")
     of = lambda kind, *cols: records.where(F.col("record_type") == kind).groupBy(F.col("concurrent_to").alias("record_id")).agg(F.max(F.struct("record_id", *cols)).alias(kind))
     meta = records.where(F.col("record_type") == "metadata").groupBy(F.col("concurrent_to").alias("record_id"))
-    meta = meta.agg(F.max(F.struct("record_id", *(F.col("fields")[k].alias(k.replace("-", "_")) for k in ("page-id", "payload-bytes", "refers-to-page")))).alias("metadata"))
-    return main.join(of("request", "target_uri"), "record_id", "left").join(meta, "record_id", "left")
+    meta = meta.agg(F.max(F.struct("record_id", *(F.col("fields")[k].alias(k.replace("-", "_")) for k in ("page-id", "payload-bytes")))).alias("metadata"))
+    # Only originals that are named go on, and only their metadata, however many captures revisit one.
+    named = main.where("refers_to_record is not null").select(F.col("refers_to_record").alias("record_id")).distinct()
+    originals = meta.join(named, "record_id", "left_semi").toDF("refers_to_record", "original")
+    whole = main.join(of("request", "target_uri"), "record_id", "left").join(meta, "record_id", "left")
+    return whole.join(originals, "refers_to_record", "left")
