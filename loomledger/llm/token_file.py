@@ -1,8 +1,8 @@
 """Token-id files: canonical length-limited Huffman codes in independent blocks.
 
 A file is a Parquet table with a row per block.  A block holds the ids of consecutive documents,
-Huffman-coded into one bit string, with the bit offset of every ``checkpoint``-th id, so that any
-document can be decoded from the nearest checkpoint.  The code comes from the id counts of the whole
+Huffman-coded into one bit string, with the bit offset of every ``CHECKPOINT``-th id, so that any
+document can be decoded from the nearest checkpoint (``read_documents``).  The code comes from the id counts of the whole
 corpus: lengths by package-merge, at most ``MAX_BITS``; only the lengths are stored (in each block),
 because canonical codes follow from them.  Blocks are written in ascending id order.
 
@@ -116,6 +116,14 @@ def decode_bits(payload: bytes, checkpoints: np.ndarray, n: int, packed_lengths:
     return out.T.reshape(-1)[:n]
 
 
+def decode_range(payload: bytes, checkpoints: np.ndarray, n: int, packed_lengths: bytes, first: int, size: int) -> np.ndarray:
+    """Ids ``first`` to ``first + size`` of a block of ``n``, from the last checkpoint at or before the first of them."""
+    low, high = first // CHECKPOINT, -(-(first + size) // CHECKPOINT)
+    skipped = low * CHECKPOINT
+    ids = decode_bits(payload, checkpoints[low:high], min(n, high * CHECKPOINT) - skipped, packed_lengths)
+    return ids[first - skipped : first - skipped + size]
+
+
 def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, keeps_space: bool) -> DataFrame:
     """``doc_id, n_tokens, ids``: ids of the text and the end id, as little-endian bytes."""
 
@@ -210,3 +218,34 @@ def read_token_file(spark: SparkSession, path: str, with_ids: bool = False) -> D
                 yield pa.record_batch(cols, names)
 
     return blocks.mapInArrow(unpack, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+
+
+def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Where each document lies in its block."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            docs, sizes = np.frombuffer(r["doc_ids"], "<i8"), np.frombuffer(r["doc_tokens"], "<i8")
+            place = [pa.array(np.full(len(docs), r[c], np.int32)) for c in ("part", "block")]
+            yield pa.record_batch([pa.array(docs), *place, pa.array(np.cumsum(sizes) - sizes), pa.array(sizes)], ["doc_id", "part", "block", "first", "n"])
+
+
+def _decode_wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for r in batch.to_pylist():
+            marks = np.frombuffer(r["checkpoints"], "<i8")
+            ids = [decode_range(r["payload"], marks, r["n_tokens"], r["code_lengths"], w["first"], w["n"]).astype(np.int32) for w in r["wanted"]]
+            yield pa.record_batch([pa.array([w["doc_id"] for w in r["wanted"]], pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+
+
+def read_documents(spark: SparkSession, path: str, wanted: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``doc_id, ids`` of the documents whose id is in ``wanted``, decoding no more than lies between the checkpoints around each.
+
+    Ids that the file lacks, and null ones, give no row; an id that is asked for twice gives the rows that it has once.
+    """
+    blocks = spark.read.schema(BLOCK_SCHEMA).parquet(path)
+    index = blocks.select("part", "block", "doc_ids", "doc_tokens").mapInArrow(_index, "doc_id long, part int, block int, first long, n long")
+    asked = wanted.select(wanted[id_col].cast("long").alias("doc_id")).distinct()
+    # A block holds BLOCK_TOKENS ids or one document, so its list is bounded.
+    per_block = index.join(asked, "doc_id").groupBy("part", "block").agg(F.collect_list(F.struct("doc_id", "first", "n")).alias("wanted"))
+    coded = blocks.select("part", "block", "n_tokens", "checkpoints", "code_lengths", "payload")
+    return coded.join(per_block, ["part", "block"]).mapInArrow(_decode_wanted, "doc_id long, ids array<int>")

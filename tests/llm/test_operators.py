@@ -133,6 +133,10 @@ def test_token_file(spark, docs, tmp_path):
         assert (r.start, r.n_tokens, r.ids) == (start, len(ids), ids)
         assert r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
         start += len(ids)
+    asked = spark.createDataFrame([(d,) for d in range(0, len(docs) + 9, 3)] + [(3,), (None,)], "doc_id long")
+    some = token_file.read_documents(spark, path, asked).collect()
+    assert sorted(r.doc_id for r in some) == [d for d, _ in docs if d % 3 == 0]
+    assert all(r.ids == got[r.doc_id].ids for r in some)
 
 
 def test_code_lengths():
@@ -304,7 +308,7 @@ def test_warc(spark, tmp_path):
     rows = {int(r.metadata.page_id): r for r in warc.assemble(warc.read_records(spark, path)).collect()}
     for p, (n, digest, kind, refers) in brute.captures([(p, h) for p, _, h in pages]).items():
         r = rows[p]
-        assert (int(r.metadata.payload_bytes), r.payload_digest, r.record_type, r.metadata.refers_to_page) == (n, digest, kind, str(refers or ""))
+        assert (int(r.metadata.payload_bytes), r.payload_digest, r.record_type, r.original and int(r.original.page_id)) == (n, digest, kind, refers)
         assert r.request is not None and (r.payload is None) == (kind == "revisit")
 
 
