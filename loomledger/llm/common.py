@@ -13,7 +13,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +43,20 @@ def words_column(text: Column) -> Column:
     return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != F.lit(""))
 
 
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """What is written inside frees its shuffle files at its end; else they stay until the driver collects garbage."""
+    before = spark.conf.get(FREE_SHUFFLES)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
+
+
 class Workspace:
     """Parquet tables in the folder that driver and executors share (``spark.checkpoint.dir``).
 
@@ -66,7 +81,8 @@ class Workspace:
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(f"{name}-{uuid.uuid4().hex[:8]}")
-        df.write.option("compression", "zstd").parquet(path)
+        with shuffles_freed(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._loom_path = path
         return out
