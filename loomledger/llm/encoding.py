@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 
+CACHED = 700_000
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -24,14 +25,15 @@ class ChunkEncoder:
     Ids are returned as little-endian uint16 bytes, or uint32 where the vocabulary needs it.
     """
 
-    def __init__(self, path: str, keeps_space: bool, cache_size: int = 700_000):
+    def __init__(self, path: str, keeps_space: bool, cache_size: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
-        self.keeps_space, self.cache_size = keeps_space, cache_size
+        self.keeps_space = keeps_space
+        self.cache_size = cache_size or (CACHED // 2 if keeps_space else CACHED)  # with the space, two caches are in use
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.first: dict[str, bytes] = {}  # a text's first chunk, and, without a leading space, the others
         self.later: dict[str, bytes] = {}
