@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, minhash, packing, pitman_yor, quality, suffix_dedup, token_counts, token_file, warc
+from . import align, decontaminate, lines, minhash, packing, pitman_yor, quality, suffix_dedup, token_counts, token_file, warc
 from .common import Workspace
 
 
@@ -69,7 +69,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_quality, op3_token_file, op4_line_dedup, op5_suffix_dedup, op6_decontaminate, op7_pitman_yor, op8_packing, op9_token_counts, op10_warc)}
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return align.align(spark, _documents(spark, sf_dir), *paths)
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_quality, op3_token_file, op4_line_dedup, op5_suffix_dedup, op6_decontaminate, op7_pitman_yor, op8_packing, op9_token_counts, op10_warc, op11_align)}
 
 ORACLE_SQL = {
     "op10_warc": """
