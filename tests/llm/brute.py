@@ -168,3 +168,91 @@ def contaminated(docs, items, threshold, overlap, k1=1.2, b=0.75):
                     new = (score, -at, q, a)
                     out[d, i] = max(out.get((d, i), new), new)
     return {k: (-at, round(s, 5), q, a) for k, (s, at, q, a) in out.items()}
+
+
+def alignment(docs, a_path, b_path):
+    """What ``align.align`` returns, by encoding whole texts and walking through the tokens of both sides."""
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer
+
+    from loomledger.llm.align import byte_level_bytes, piece_bytes
+
+    first, second = Tokenizer.from_file(a_path), SentencePieceProcessor(model_file=b_path)
+    first.encode_special_tokens = True
+    a_bytes, b_bytes = byte_level_bytes(first), piece_bytes(second)
+    found, counts = [], Counter()
+    for doc_id, text in docs:
+        a = first.encode(" " + text, add_special_tokens=False).ids if text else []
+        b = second.encode(text) if text else []
+        if not b"".join(a_bytes[k] for k in a) == (" " + (text or "")).encode() == b"".join(b_bytes[k] for k in b):
+            a, b = [], []
+        links, groups, i, j, at_a, at_b, open_a, open_b = [], [], 0, 0, 0, 0, [], []
+        while i < len(a):
+            end_a, end_b = at_a + len(a_bytes[a[i]]), at_b + len(b_bytes[b[j]])
+            links.append((a[i], b[j]))
+            if end_a <= end_b:
+                open_a.append(str(a[i]))
+                i, at_a = i + 1, end_a
+            if end_b <= end_a:
+                open_b.append(str(b[j]))
+                j, at_b = j + 1, end_b
+            if end_a == end_b:
+                groups.append(",".join(open_a) + "|" + ",".join(open_b))
+                open_a, open_b = [], []
+        counts.update(links)
+        found.append((doc_id, len(a), len(b), groups, links))
+    best = Counter()
+    for (_, k), n in counts.items():
+        best[k] = max(best[k], n)
+    sha = lambda groups: hashlib.sha256(";".join(groups).encode()).hexdigest() if groups else ""
+    return [(doc_id, a, b, len(g), len(x), sum(counts[k] == best[k[1]] for k in x), sum(counts[k] for k in x), sha(g)) for doc_id, a, b, g, x in found]
+
+
+def repaired(rows):
+    """What ``repair.repair`` returns for damaged rows ``conv_id, turn, role, text``: all edits tried, cheapest and then least audit."""
+    from functools import cache
+
+    conversations: dict = {}
+    for conv_id, turn, role, text in rows:
+        role, text, key = " " if role is None else role, " " if text is None else text, ":".join(" " if x is None else str(x) for x in (conv_id, turn))
+        kind, kept = zlib.crc32(key.encode()) % 20, conversations.setdefault(conv_id, [])
+        if kind == 0:
+            continue
+        text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
+        kept += [(turn, "user" if kind == 4 else role, text)] * (2 if kind == 3 else 1)
+    out = []
+    for conv_id, kept in conversations.items():
+        kept.sort(key=lambda x: (x[0] is not None, x[0] or 0, x[1], x[2]))
+        faults, seen = [], set()
+        for _, role, text in kept:
+            bare = text.rstrip(" \t\n\x0b\x0c\r")
+            faults.append("blank" if not bare else "duplicate" if (role, text) in seen else "truncated" if bare[-1] not in ".!?" else "")
+            seen.add((role, text))
+        letters = "".join(role[:1] or "-" for _, role, _ in kept)
+
+        @cache
+        def best(i, made, added, kept=kept, faults=faults):
+            """The cheapest way on from row i; ``made``: the last initial so far, ``added``: turns just inserted."""
+            role_now = "assistant" if made == "u" else "user"
+            more = [(5, "I", (role_now, ""), i, role_now[0], added + 1)] if added < 3 else []
+            if i < len(kept):
+                _, role, text = kept[i]
+                more.append((2, "D", None, i + 1, made, 0))
+                if faults[i] not in ("blank", "duplicate"):
+                    late = 5 if faults[i] == "truncated" else 0
+                    if role and role[0] in {"": "su", "s": "u", "u": "a", "a": "u"}[made]:
+                        more.append((late, "K", (role, text), i + 1, role[0], 0))
+                    more.append((1 + late, "R", (role_now, text), i + 1, role_now[0], 0))
+            ways = [(0, "", ())] if i == len(kept) and made in ("", "a") else []
+            for cost, edit, row, *to in more:
+                rest = best(*to)
+                ways.append((cost + rest[0], edit + rest[1], ((row,) if row else ()) + rest[2]))
+            return min(ways, key=lambda x: x[:2], default=(1 << 30, "", ()))
+
+        cost, audit, turns = best(0, "", 0)
+        numbers = [t for t, _, _ in kept if t is not None]
+        out.append(
+            (conv_id, max(numbers) - min(numbers) + 1 - len(set(numbers)) if numbers else 0, *(faults.count(f) for f in ("blank", "duplicate", "truncated")),
+             sum(x + y not in ("su", "ua", "au") for x, y in zip(letters, letters[1:])), cost, audit, hashlib.sha256("\n".join(f"{r}:{t}" for r, t in turns).encode()).hexdigest())
+        )
+    return out

@@ -11,12 +11,13 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loomledger.llm import decontaminate, lines, minhash, packing, pitman_yor, quality, suffix_dedup, token_counts, token_file, warc
+from loomledger.llm import align, decontaminate, lines, minhash, packing, pitman_yor, quality, repair, suffix_dedup, token_counts, token_file, warc
 from loomledger.llm.common import Workspace
 from loomledger.llm.components import connected_components
 from loomledger.llm.encoding import ChunkEncoder
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+PIECE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def prose(n, seed, vocabulary=400):
@@ -359,3 +360,85 @@ def test_repeated_rows(spark):
     assert packing.pack(spark, frame(spark, docs), BYTE).count() == 3
     kept = suffix_dedup.remove_repeats(spark, frame(spark, [(1, "q" * 400), (1, "q" * 400)])).collect()
     assert [r.n_removed for r in kept] == [400, 400] and kept[0].kept_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+ALIGNED = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def test_align_against_whole_texts(spark, docs, monkeypatch):
+    odd = ["\n", "\n\na  b\n \nc\t\td", "▁ x", "<|endoftext|> <s> <0x41> <unk>", "a\0b c", "  at both ends  ", "日本語 テスト 😀😀 ok", "é" * 300, "😀" * 50, "a" * 70000, "w " * 30000 + "end", "\x1c a \x85 b", "a\r\n next", "don't we'll \nI'm"]
+    rows = docs + list(enumerate(odd, 10_000)) + docs[:3] + [(10_001, "another text of this id")]
+    want = sorted(brute.alignment(rows, BYTE, PIECE))
+    for window in (align.WINDOW, 64):  # in one window, and through many
+        monkeypatch.setattr(align.end_events, "__defaults__", (window,))
+        got = sorted(tuple(r) for r in align.align(spark, frame(spark, rows), BYTE, PIECE).select("doc_id", *ALIGNED).collect())
+        assert got == want
+
+
+def test_align_groups_and_links_of_a_text(spark):
+    rows = align.aligned_groups(frame(spark, [(1, "Unbelievable things happen"), (2, None)]), BYTE, PIECE).collect()
+    encoder = align.pair_encoder(BYTE, PIECE)
+    by = {r.doc_id: r for r in rows}
+    assert by[2].groups == "" and by[2].pairs == []
+    for group in by[1].groups.split(";"):
+        a, b = (list(map(int, side.split(","))) for side in group.split("|"))
+        assert b"".join(encoder.a_bytes[k] for k in a) == b"".join(encoder.b_bytes[k] for k in b)
+
+
+def test_align_beyond_the_broadcast_and_empty(spark, docs, monkeypatch):
+    want = sorted(brute.alignment(docs[:60], BYTE, PIECE))
+    monkeypatch.setattr(align, "BROADCAST_PAIRS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = sorted(tuple(r) for r in align.align(spark, frame(spark, docs[:60]), BYTE, PIECE).select("doc_id", *ALIGNED).collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == want
+    assert align.align(spark, frame(spark, []), BYTE, PIECE).collect() == []
+
+
+def turns(spark, rows):
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    for c in ("there", "kind", "at", "phase", "copies", "seen"):
+        df = df.withColumn(c, F.lit(None).cast("string"))
+    return df
+
+
+def random_turns():
+    r = random.Random(11)
+    said = ["Yes.", "No!", "Why?", "  ", "", "cut off", "cut off ", "End.\n", None, "a.b", "?"]
+    rows = []
+    for conv in [*range(150), None]:
+        for turn in range(r.randint(0, 9)):
+            rows.append((conv, r.choice([turn, turn, turn, None, turn * 3]), r.choice(["user", "assistant", "user", "assistant", "system", "tool", None, ""]), r.choice(said) if r.random() < 0.5 else f"Line {r.random()}."))
+    return rows + [(7, 1, "user", "Same.")] * 40 + [(999, t, "user" if t % 2 else "assistant", f"Word {t % 50}.") for t in range(400)]
+
+
+def test_repair_against_all_edits(spark):
+    import sys
+
+    sys.setrecursionlimit(10_000)
+    rows = random_turns()
+    want = sorted(brute.repaired(rows), key=str)
+    out = repair.repair(repair.damage(turns(spark, rows)))
+    assert out.columns == ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"]
+    assert sorted(map(tuple, out.collect()), key=str) == want
+
+
+def test_repaired_turns_are_well_formed(spark):
+    import re
+
+    found = {}
+    for r in repair.repaired_turns(repair.damage(turns(spark, random_turns()))).collect():
+        found.setdefault(r.conv_id, []).append(r)
+    assert found
+    for rows in found.values():
+        rows.sort(key=lambda r: r.position)
+        assert re.fullmatch("(s?(ua)+)?", "".join(r.role[0] for r in rows))
+
+
+def test_repair_of_dropped_and_empty_tables(spark):
+    dropped = next((c, 0) for c in range(1000) if zlib.crc32(f"{c}:0".encode()) % 20 == 0)
+    (row,) = repair.repair(repair.damage(turns(spark, [(*dropped, "user", "Hello.")]))).collect()
+    assert tuple(row) == (dropped[0], 0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())
+    assert repair.repair(repair.damage(turns(spark, []))).collect() == []
