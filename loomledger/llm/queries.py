@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, decontaminate, lines, minhash, packing, pitman_yor, quality, repair, suffix_dedup, token_counts, token_file, warc
+from . import align, decontaminate, lines, minhash, packing, pii, pitman_yor, quality, repair, suffix_dedup, token_counts, token_file, warc
 from .common import Workspace
 
 
@@ -78,7 +78,11 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(repair.damage(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_quality, op3_token_file, op4_line_dedup, op5_suffix_dedup, op6_decontaminate, op7_pitman_yor, op8_packing, op9_token_counts, op10_warc, op11_align, op12_repair)}
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(spark, _documents(spark, sf_dir)))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_quality, op3_token_file, op4_line_dedup, op5_suffix_dedup, op6_decontaminate, op7_pitman_yor, op8_packing, op9_token_counts, op10_warc, op11_align, op12_repair, op13_pii)}
 
 ORACLE_SQL = {
     "op10_warc": """
