@@ -318,20 +318,39 @@ def _fitted(n: int) -> tuple[tuple, tuple[float, ...]]:
     return trees, tuple(least.get(k, float("inf")) for k in range(len(KINDS)))
 
 
+def _apart(candidates: Column, base: Column) -> Column:
+    """The candidates that touch no base span, by start: a pass forward over both and one back, so time is not the product of both."""
+    event = lambda x, is_base, score: F.struct(x["start"].alias("start"), F.lit(not is_base).alias("late"), x["end"].alias("end"), x["kind"].alias("kind"), score.alias("score"))
+    both = F.array_sort(F.concat(F.transform(base, lambda x: event(x, True, F.lit(0.0))), F.transform(candidates, lambda x: event(x, False, x["score"]))))
+    none = F.array().cast("array<struct<start:int,late:boolean,end:int,kind:int,score:double>>")
+    state = lambda rows, edge: F.struct(rows.alias("rows"), edge.alias("edge"))
+
+    def forward(acc, x):  # edge: how far the base spans reach
+        grown = F.concat(acc["rows"], F.array(x))
+        return F.when(~x["late"], state(grown, F.greatest(acc["edge"], x["end"]))).when(x["start"] >= acc["edge"], state(grown, acc["edge"])).otherwise(acc)
+
+    def back(acc, x):  # edge: where the next base span starts
+        return F.when(~x["late"], state(acc["rows"], x["start"])).when(x["end"] <= acc["edge"], state(F.concat(acc["rows"], F.array(x)), acc["edge"])).otherwise(acc)
+
+    ahead = F.aggregate(both, state(none, F.lit(0)), forward, lambda acc: F.reverse(acc["rows"]))
+    return F.aggregate(ahead, state(none, F.lit((1 << 31) - 1)), back, lambda acc: F.reverse(acc["rows"]))
+
+
 def _added(candidates: str, base: Column, trees: tuple, thresholds: tuple[float, ...]) -> Column:
     """Proposed spans that reach their threshold and touch no base span; of those that overlap, the best."""
     scored = F.expr(f"transform({candidates}, c -> struct(c.start AS start, c.end AS end, c.kind AS kind, {_score(trees, 'c.')} AS score))")
     least = F.array(*map(F.lit, thresholds))
-    apart = lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    kept = F.array_sort(F.array_distinct(F.filter(scored, lambda x: (x["score"] >= F.get(least, x["kind"])) & apart(x))))
+    high = F.filter(scored, lambda x: x["score"] >= F.get(least, x["kind"]))
 
     def choose(acc, x):
         last = F.try_element_at(acc, F.lit(-1))
         without = F.slice(acc, 1, F.size(acc) - 1)
         return F.when((F.size(acc) == 0) | (x["start"] >= last["end"]), F.concat(acc, F.array(x))).when(x["score"] > last["score"], F.concat(without, F.array(x))).otherwise(acc)
 
-    none = F.array().cast("array<struct<start:int,end:int,kind:int,score:double>>")
-    return F.transform(F.aggregate(kept, none, choose), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+    none = F.array().cast("array<struct<start:int,late:boolean,end:int,kind:int,score:double>>")
+    span = lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))
+    spans = "array<struct<kind:int,start:int,end:int>>"
+    return _let(high, lambda h: F.when(F.size(h) == 0, F.array().cast(spans)).otherwise(F.transform(F.aggregate(_apart(h, base), none, choose), span)))
 
 
 def _written(spans: Column) -> Column:
@@ -346,8 +365,7 @@ def find(spark: SparkSession, docs: DataFrame, n_examples: int = EXAMPLES) -> Da
     text, base = F.col("text"), F.col("base")
     out = rows.withColumn("base", base_spans(text))
     out = out.withColumn("proposed", proposed(text))
-    added = F.when(F.size("proposed") > 0, _added("proposed", base, trees, thresholds)).otherwise(F.array().cast("array<struct<kind:int,start:int,end:int>>"))
-    return out.withColumn("spans", F.array_sort(F.concat(base, added))).drop("proposed")
+    return out.withColumn("spans", F.array_sort(F.concat(base, _added("proposed", base, trees, thresholds)))).drop("proposed")
 
 
 def redact(found_rows: DataFrame) -> DataFrame:

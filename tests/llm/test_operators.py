@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loomledger.llm import align, decontaminate, lines, minhash, packing, pitman_yor, quality, repair, suffix_dedup, token_counts, token_file, warc
+from loomledger.llm import align, decontaminate, lines, minhash, packing, pii, pitman_yor, quality, repair, suffix_dedup, token_counts, token_file, warc
 from loomledger.llm.common import Workspace
 from loomledger.llm.components import connected_components
 from loomledger.llm.encoding import ChunkEncoder
@@ -442,3 +442,63 @@ def test_repair_of_dropped_and_empty_tables(spark):
     (row,) = repair.repair(repair.damage(turns(spark, [(*dropped, "user", "Hello.")]))).collect()
     assert tuple(row) == (dropped[0], 0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())
     assert repair.repair(repair.damage(turns(spark, []))).collect() == []
+
+
+def personal_texts():
+    """Personal data, near misses and their neighbours in all orders."""
+    r = random.Random(3)
+    parts = ["a.b@c.de", "x@y", "x@y..z", "a@b.c_d@e.f", "é@ü.de", "@a.b", "1.2.3.4.5.6.7.8", "300.1.2.3", "001.02.255.256", "1.2.3.0000255", "9" * 25 + ".1.2.3", "4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111112",
+             "5500 0000 0000 0004 4111111111111111", "+1 (017) 555-7713", "+49 30 1234567 8", "+1", "+12", "+1 2345678 ) x", "+1234567890123456", "++12345678", "😀", "\n", "word", "12-", "  ", "12.5", "+7.(", "1" * 40]
+    texts = [None, "", "plain words only"] + parts
+    texts += [r.choice(["", " ", ", "]).join(r.choice(parts) for _ in range(r.randint(1, 9))) for _ in range(400)]
+    return list(enumerate([*texts, "x" * 60000 + "@" + "a" * 60000, "a@b.cd " * 3000, "1 " * 9000, "+1" + " " * 20000, "1.2.3.4 " * 700]))
+
+
+def test_pii_base_rules(spark):
+    rows = personal_texts()
+    out = pii.digest(pii.find(spark, frame(spark, rows + rows[:5])))
+    assert out.columns == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
+    got = out.collect()
+    assert sorted(r.doc_id for r in got) == sorted(k for k, _ in rows + rows[:5])
+    texts = dict(rows)
+    for r in got:
+        want = brute.personal(texts[r.doc_id])
+        written = [f"{kind}:{a}:{b}" for kind, spans in want.items() for a, b in spans]
+        assert tuple(r)[1:5] == tuple(map(len, want.values())), texts[r.doc_id]
+        assert r.base_sha256 == hashlib.sha256(",".join(written).encode()).hexdigest()
+        spans = r.spans.split(",") if r.spans else []
+        assert set(written) <= set(spans)
+        key = lambda s: (pii.KINDS.index(s.split(":")[0]), int(s.split(":")[1]))
+        assert [key(s) for s in spans] == sorted(key(s) for s in spans)
+
+
+def test_pii_adds_written_out_forms_and_leaves_other_numbers(spark):
+    personal = [
+        ("email", "write to ", "maria.lopez at example dot org"), ("email", "", "jo(at)mail.com"), ("email", "contact: ", "max [at] firma [dot] de"), ("ip", "server ", "10[.]0[.]12[.]7"), ("ip", "", "2001:db8:0:0:8a2e:370:7334:1"),
+        ("card", "visa: ", "3782 822463 10005"), ("phone", "call ", "(212) 555-0147"), ("phone", "Tel: ", "0301/2345678"), ("card", "so ", "7536784127813050"),
+    ]
+    other = ["on 2024-01-15 at 12:30:45", "ISBN 978-3-16-148410-0", "order 84512345", "in 1990-1995 2000-2005 and", "the number 4845168114407320 here", "version 1.2.3.400", "meet at noon dot", "@handle", "12 @ 3.50", "10 000 000 people"]
+    texts = [(k, f"{lead}{value}, und so weiter", lead, value, kind) for k, (kind, lead, value) in enumerate(personal)]
+    rows = [(k, text) for k, text, *_ in texts] + list(enumerate(other, 100))
+    found = pii.find(spark, frame(spark, rows))
+    got = by_id(pii.digest(found), "spans")
+    for k, _, lead, value, kind in texts:
+        assert got[k] == (f"{kind}:{len(lead)}:{len(lead) + len(value)}",), value
+    assert {k: got[k] for k, _ in enumerate(other, 100)} == {k: ("",) for k, _ in enumerate(other, 100)}
+    clean = by_id(pii.redact(found), "text")
+    assert clean[0] == ("write to [email], und so weiter",) and clean[100] == (other[0],)
+    assert by_id(pii.redact(pii.find(spark, frame(spark, [(1, "a@b.cd or +1 (017) 555-7713!")]))), "text")[1] == ("[email] or [phone]!",)
+
+
+def test_pii_held_out_accuracy(spark):
+    trees, thresholds = pii._fitted(pii.EXAMPLES)
+    rows = pii.labelled(spark, pii.EXAMPLES + 800).where(F.col("example") >= pii.EXAMPLES)  # written later than those that fitted
+    score = F.expr(pii._score(trees)) >= F.get(F.array(*map(F.lit, thresholds)), "kind")
+    for r in rows.groupBy("kind").agg(F.avg(F.when(score, F.col("label"))).alias("precision"), F.avg(F.when(F.col("label") == 1, score.cast("int"))).alias("recall")).collect():
+        assert r.precision >= 0.95 and r.recall >= 0.9, r
+    assert pii.digest(pii.find(spark, frame(spark, []))).collect() == []
+
+
+def test_pii_runs_no_python(spark):
+    plan = pii.digest(pii.find(spark, frame(spark, [(1, "a")])))._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
