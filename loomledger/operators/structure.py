@@ -9,38 +9,11 @@ from ..functions.values import favourable, safe_divide
 from .aggregate import key
 
 
-def closure(nodes: DataFrame, max_depth: int = 16) -> DataFrame:
-    """``ancestor, descendant, depth`` of a tree given as ``node, parent``; every node is its own ancestor.
-
-    A chart of accounts is bounded, its depth small; each level is a join on the parent.
-    """
-    spark = nodes.sparkSession
-    nodes.select("node", "parent").createOrReplaceTempView("loom_tree")
-    return spark.sql(f"""
-        WITH RECURSIVE up (ancestor, descendant, depth) MAX RECURSION LEVEL {max_depth} AS (
-            SELECT node, node, 0 FROM loom_tree
-            UNION ALL
-            SELECT t.parent, up.descendant, up.depth + 1 FROM up JOIN loom_tree t ON t.node = up.ancestor WHERE t.parent IS NOT NULL
-        ) SELECT ancestor, descendant, depth FROM up
-    """)
-
-
 def levels(tree: DataFrame) -> DataFrame:
-    """``node, level``: the root has level 0."""
+    """``node, level`` of a closure (``trees.closure``): the root has level 0."""
     return tree.groupBy(F.col("descendant").alias("node")).agg(F.max("depth").cast("int").alias("level"))
 
 
-def rollup(facts: DataFrame, tree: DataFrame, account: str = "account_number") -> DataFrame:
-    """``node, direct, rolled``: a node's own sum and that of all below it.  Accounts outside the tree are left out.
-
-    Facts are summed per account before they meet the tree, so the join is as small as the chart.
-    """
-    direct = facts.groupBy(F.col(account).alias("descendant")).agg(F.sum("amount").alias("s"))
-    out = tree.join(direct, "descendant", "left").groupBy(F.col("ancestor").alias("node"))
-    own = F.when(F.col("ancestor") == F.col("descendant"), F.col("s"))
-    return out.agg(F.coalesce(F.sum(own), F.lit(0)).cast("double").alias("direct"), F.coalesce(F.sum("s"), F.lit(0)).cast("double").alias("rolled"))
-
-
 def budget_variance(actual: DataFrame, budget: DataFrame, dims: list[str]) -> DataFrame:
     """Full outer join of both sides' sums; a missing side is 0.  ``variance_pct`` is of the budget, 0 if that is 0."""
     a = actual.groupBy(*map(key, dims)).agg(F.sum("amount").alias("a"))

@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import fiscal, values
-from .operators import aggregate, analysis, filters, registry, series, structure, volatility
+from .operators import aggregate, analysis, filters, prefixes, ranges, registry, series, structure, trees, volatility
 from .plans import compiler, semantics
 from .plans.spec import Intent, QuerySpec
 from .sources.ledger import LEDGER_SQL, account_list, profile, sample_ledger, sql_over, synthetic_ledger, tables
 from .sources.schema import canonical
+from .sources.scratch import Scratch
+from .sources.store import LedgerStore
 from .streaming import events
 
 AS_OF = date(2000, 6, 15)
@@ -346,8 +348,8 @@ _TREE_SQL = """nodes AS (SELECT DISTINCT account_number AS node, substr(account_
 
 
 def _sums(ledger: DataFrame) -> DataFrame:
-    """Sums per account, as few rows as the chart; kept, for the tree and its facts come from the same pass."""
-    return ledger.groupBy("account_number").agg(F.sum("amount").alias("amount")).persist()
+    """Sums per account, as few rows as the chart; written, for the tree and its facts come from the same pass."""
+    return Scratch(ledger.sparkSession).table(ledger.groupBy("account_number").agg(F.sum("amount").alias("amount")), "sums")
 
 
 def _nodes(accounts: DataFrame) -> DataFrame:
@@ -364,7 +366,7 @@ def _rec(sql: str) -> str:
 @query()
 def rollup_accounts(ledger: DataFrame) -> DataFrame:
     sums = _sums(ledger)
-    return structure.rollup(sums, structure.closure(_nodes(sums)))
+    return trees.rollup(sums, _nodes(sums))
 
 
 ORACLE_SQL["rollup_accounts"] = _rec("SELECT ancestor AS node, CAST(coalesce(sum(CASE WHEN ancestor = descendant THEN s END), 0) AS DOUBLE) AS direct, CAST(coalesce(sum(s), 0) AS DOUBLE) AS rolled FROM up LEFT JOIN (SELECT account_number, sum(amount) AS s FROM ledger GROUP BY 1) f ON f.account_number = descendant GROUP BY 1")
@@ -373,8 +375,27 @@ ORACLE_SQL["rollup_accounts"] = _rec("SELECT ancestor AS node, CAST(coalesce(sum
 @query()
 def rollup_level_two(ledger: DataFrame) -> DataFrame:
     sums = _sums(ledger)
-    tree = structure.closure(_nodes(sums))
-    return structure.rollup(sums, tree).join(structure.levels(tree).where("level = 2"), "node").select("node", "level", "rolled")
+    nodes = _nodes(sums)
+    return trees.rollup(sums, nodes).join(trees.depths(nodes).where("level = 2"), "node").select("node", "level", "rolled")
+
+
+@query()
+def account_closure(ledger: DataFrame) -> DataFrame:
+    """Every account and group of the chart with all above it."""
+    return trees.closure(_nodes(_sums(ledger)))
+
+
+ORACLE_SQL["account_closure"] = _rec("SELECT ancestor, descendant, CAST(depth AS INTEGER) AS depth FROM up")
+
+
+# Parts as a deep tree: part k hangs below part k / 2, as far as there are parts; its lines are what it adds.
+@query("""WITH RECURSIVE q AS (SELECT l_partkey AS node, sum(CAST(l_quantity AS DECIMAL(18,4))) AS s FROM lineitem GROUP BY 1), n AS (SELECT p_partkey AS node, CASE WHEN p_partkey > 1 THEN p_partkey // 2 END AS parent FROM part),
+  up AS (SELECT node AS ancestor, node AS descendant FROM n UNION ALL SELECT n.parent, descendant FROM up JOIN n ON n.node = ancestor WHERE n.parent IS NOT NULL)
+  SELECT ancestor AS node, CAST(coalesce(sum(CASE WHEN ancestor = descendant THEN s END), 0) AS DOUBLE) AS direct, CAST(coalesce(sum(s), 0) AS DOUBLE) AS rolled FROM up LEFT JOIN q ON q.node = descendant WHERE ancestor IN (SELECT node FROM n) GROUP BY 1""", ledger=False)
+def rollup_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line, part = tables(spark, sf_dir, "lineitem", "part")
+    nodes = part.select(F.col("p_partkey").alias("node"), F.when(F.col("p_partkey") > 1, F.floor(F.col("p_partkey") / 2)).alias("parent"))
+    return trees.rollup(line.select("l_partkey", F.col("l_quantity").cast("decimal(18,4)").alias("q")), nodes, "l_partkey", "q")
 
 
 ORACLE_SQL["rollup_level_two"] = _rec("SELECT node, level, CAST(s AS DOUBLE) AS rolled FROM (SELECT descendant AS node, CAST(max(depth) AS INTEGER) AS level FROM up GROUP BY 1) JOIN (SELECT substr(account_number, 1, 2) AS p, sum(amount) AS s FROM ledger GROUP BY 1) ON p = node WHERE level = 2")
@@ -412,9 +433,85 @@ def sql_over_ledger(ledger: DataFrame) -> DataFrame:
 @query(f"SELECT d.name AS period, count(*) AS n, {SUM} AS total FROM ledger JOIN (VALUES ('H1', DATE '1999-02-01', DATE '1999-07-31'), ('Q2', DATE '1999-05-01', DATE '1999-07-31'), ('H2', DATE '1999-08-01', DATE '2000-01-31')) d(name, a, b) ON trandate BETWEEN d.a AND d.b GROUP BY 1")
 def period_overlap_join(ledger: DataFrame) -> DataFrame:
     periods = [("H1", date(1999, 2, 1), date(1999, 7, 31)), ("Q2", date(1999, 5, 1), date(1999, 7, 31)), ("H2", date(1999, 8, 1), date(2000, 1, 31))]
-    dim = ledger.sparkSession.createDataFrame(periods, "period string, a date, b date")  # a handful of rows, whatever the ledger
+    dim = ledger.sparkSession.createDataFrame(periods, "period string, a date, b date")
     days = ledger.groupBy("trandate").agg(F.count("*").alias("n"), F.sum("amount").alias("s"))
-    return days.join(F.broadcast(dim), F.col("trandate").between(F.col("a"), F.col("b"))).groupBy("period").agg(F.sum("n").alias("n"), F.sum("s").cast("double").alias("total"))
+    found = ranges.overlap_join(days, dim, ("trandate", "trandate"), ("a", "b"), width=1)
+    return found.groupBy("period").agg(F.sum("n").alias("n"), F.sum("s").cast("double").alias("total"))
+
+
+# Months, quarters and years of the ledger's calendar as a table of periods that overlap.
+_PERIODS = f"""p AS (SELECT DISTINCT {FY_SQL} AS fy, {FQ_SQL} AS fq, period_start AS m FROM ledger), periods AS (
+  SELECT strftime(m, '%Y-%m') AS period, m AS a, last_day(m) AS b FROM p UNION ALL SELECT 'FY' || fy || ' Q' || fq, min(m), last_day(max(m)) FROM p GROUP BY fy, fq UNION ALL SELECT 'FY' || fy, min(m), last_day(max(m)) FROM p GROUP BY fy)"""
+
+
+@query()
+def period_table_join(ledger: DataFrame) -> DataFrame:
+    """Every period that a day lies in: a range join of the ledger's days with a table of periods."""
+    days = Scratch(ledger.sparkSession).table(ledger.groupBy("trandate", "period_start").agg(F.count("*").alias("n"), F.sum("amount").alias("s")), "days")
+    d = F.col("trandate")
+    months = days.select(fiscal.fy(d).cast("string").alias("fy"), fiscal.fq(d).cast("string").alias("fq"), F.col("period_start").alias("m")).distinct()
+    part = lambda name, *by: months.groupBy(*by).agg(F.min("m").alias("a"), F.last_day(F.max("m")).alias("b")).select(name.alias("period"), "a", "b")
+    periods = part(F.date_format("m", "yyyy-MM"), "m").union(part(F.concat(F.lit("FY"), "fy", F.lit(" Q"), "fq"), "fy", "fq")).union(part(F.concat(F.lit("FY"), "fy"), "fy"))
+    found = ranges.overlap_join(days.select("trandate", "n", "s"), periods, ("trandate", "trandate"), ("a", "b"), width=8)
+    return found.groupBy("period").agg(F.count("*").alias("days"), F.sum("n").alias("n"), F.sum("s").cast("double").alias("total"))
+
+
+ORACLE_SQL["period_table_join"] = f"WITH {LEDGER_SQL}, {_PERIODS} SELECT period, count(DISTINCT trandate) AS days, count(*) AS n, {SUM} AS total FROM ledger JOIN periods ON trandate BETWEEN a AND b GROUP BY 1"
+
+
+_SESSIONS = """s AS (SELECT user_id, min(ts) AS started, max(ts) AS ended FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM
+  (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, k)"""
+
+
+@query(f"WITH {_SESSIONS} SELECT a.user_id, count(*) AS pairs, count(DISTINCT b.user_id) AS others FROM s a JOIN s b ON a.started <= b.ended AND b.started <= a.ended AND a.user_id <> b.user_id GROUP BY 1", ledger=False)
+def session_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often a user's sessions run beside those of others: a range join of the sessions with themselves."""
+    one = Scratch(spark).table(events.sessions(tables(spark, sf_dir, "events")[0]).select("user_id", F.col("started"), F.col("last_event").alias("ended")), "sessions")
+    other = one.toDF("other_id", "other_started", "other_ended")
+    found = ranges.overlap_join(one, other, ("started", "ended"), ("other_started", "other_ended"), width=30 * 60 * 1_000_000)
+    return found.where("user_id <> other_id").groupBy("user_id").agg(F.count("*").alias("pairs"), F.countDistinct("other_id").alias("others"))
+
+
+# A rule for every beginning, up to four characters long, of every third part's number.
+@query("""WITH r AS (SELECT DISTINCT left(CAST(p_partkey AS VARCHAR), k) AS prefix FROM part, unnest([1, 2, 3, 4]) u(k) WHERE p_partkey % 3 = 0), p AS (SELECT CAST(l_partkey AS VARCHAR) AS part, count(*) AS n FROM lineitem GROUP BY 1),
+  m AS (SELECT part, n, (SELECT max(length(prefix)) FROM r WHERE starts_with(part, prefix)) AS k FROM p)
+  SELECT left(part, k) AS rule, sum(n)::BIGINT AS n, count(*) AS parts FROM m GROUP BY 1""", ledger=False)
+def prefix_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines by the longest rule that their part's number begins with; null for none."""
+    line, part = tables(spark, sf_dir, "lineitem", "part")
+    number = F.col("p_partkey").cast("string")
+    rules = part.where("p_partkey % 3 = 0").select(F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length(number), F.lit(4))), lambda k: F.left(number, k))).alias("prefix")).distinct()
+    counted = line.groupBy(F.col("l_partkey").cast("string").alias("part")).agg(F.count("*").alias("n"))
+    found = prefixes.longest_prefix(counted, rules.withColumn("rule", F.col("prefix")), "part")
+    return found.groupBy("rule").agg(F.sum("n").alias("n"), F.count("*").alias("parts"))
+
+
+# The stored ledger.
+def _stored(ledger: DataFrame) -> LedgerStore:
+    store = LedgerStore(ledger.sparkSession).write(ledger)
+    accounts = store.ledger().groupBy("account_number").agg(F.max("account_name").alias("title"))
+    return store.write_accounts(accounts.withColumn("class", values.account_class(F.col("account_number"))))
+
+
+@query(f"SELECT account_number, max(account_name) AS title, {SUM} AS total, count(*) AS n FROM ledger WHERE {_days(FY)} GROUP BY 1")
+def store_fiscal_year(ledger: DataFrame) -> DataFrame:
+    """A fiscal year by account: only its months are read, and accounts join without an exchange."""
+    store = _stored(ledger)
+    lines = store.with_accounts(store.ledger().where(filters.months(FY)))
+    return lines.groupBy("account_number", "title").agg(aggregate.total().alias("total"), F.count("*").alias("n"))
+
+
+# Late lines: credits of every seventh order, booked into two months that are there and one that is not.
+_LATE = """SELECT * REPLACE (-amount AS amount, CASE WHEN month(trandate) = 3 THEN DATE '2030-01-01' ELSE period_start END AS period_start) FROM ledger WHERE l_orderkey % 7 = 0 AND period_start IN (DATE '1999-01-01', DATE '1999-02-01', DATE '1999-03-01')"""
+
+
+@query(f"SELECT CAST(period_start AS VARCHAR) AS period_start, {SUM} AS total, count(*) AS n FROM (SELECT * FROM ledger UNION ALL {_LATE}) GROUP BY 1")
+def store_late_lines(ledger: DataFrame) -> DataFrame:
+    store = LedgerStore(ledger.sparkSession).write(ledger)
+    late = store.ledger().where((F.col("l_orderkey") % 7 == 0) & F.col("period_start").isin(*(date(1999, m, 1) for m in (1, 2, 3))))
+    moved = F.when(F.month("trandate") == 3, F.lit(date(2030, 1, 1))).otherwise(F.col("period_start"))
+    store.add(late.withColumns({"amount": (-F.col("amount")).cast("decimal(18,4)"), "period_start": moved}))
+    return store.ledger().groupBy("period_start").agg(aggregate.total().alias("total"), F.count("*").alias("n"))
 
 
 # Series.
