@@ -96,11 +96,28 @@ def correlate(pairs: DataFrame, by: list[str], method: str = "pearson") -> DataF
 
 
 def _kendall(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """Tau-b; series are months long, so all pairs of a group's rows are few."""
-    a, b = pairs.select(*by, F.col("x").alias("x1"), F.col("y").alias("y1")), pairs.select(*by, F.col("x").alias("x2"), F.col("y").alias("y2"))
-    dx, dy = F.signum(F.col("x1") - F.col("x2")), F.signum(F.col("y1") - F.col("y2"))
-    out = a.join(b, by).groupBy(*by).agg(F.sum(dx * dy).alias("s"), F.sum(F.abs(dx)).alias("a"), F.sum(F.abs(dy)).alias("b"), F.sqrt(F.count("*")).cast("long").alias("n"))
-    return out.select(*by, F.round(F.coalesce(safe_divide(F.col("s"), F.sqrt(F.col("a") * F.col("b"))), F.lit(0.0)), 6).alias("r"), "n")
+    """Tau-b without pairs of rows: inversions of y in the order of x, counted bit by bit of its rank.
+
+    Two rows are inverted if the earlier one has the greater rank: at the first bit in which the ranks differ it has a 1
+    and the later one a 0.  So of the rows with equal higher bits, each one with a 0 counts the 1s before it: a running
+    sum for each bit, n log n rows in all.  Ties are counted by their groups.
+    """
+    rows = pairs.where("x is not null and y is not null")
+    whole = Window.partitionBy(*by)
+    tied = lambda *c: (F.count("*").over(Window.partitionBy(*by, *c)) - 1) / 2
+    rows = rows.select(*by, "x", "y", F.row_number().over(whole.orderBy("x", "y")).alias("__at"), (F.dense_rank().over(whole.orderBy("y")) - 1).alias("__rank"), tied("x").alias("__tx"), tied("y").alias("__ty"), tied("x", "y").alias("__txy"))
+    base = rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum("__tx").alias("tx"), F.sum("__ty").alias("ty"), F.sum("__txy").alias("txy"))
+    bits = rows.withColumn("__top", F.max("__rank").over(whole))
+    bits = bits.select(*by, "__at", "__rank", F.explode(F.sequence(F.lit(0), F.length(F.bin("__top")) - 1)).alias("__bit"))
+    one = F.expr("shiftright(__rank, __bit) & 1")
+    bits = bits.select(*by, "__at", "__bit", F.expr("shiftright(__rank, __bit + 1)").alias("__above"), one.alias("__one"))
+    before = F.sum("__one").over(Window.partitionBy(*by, "__bit", "__above").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0))
+    inverted = bits.select(*by, F.when(F.col("__one") == 0, before).alias("__before")).groupBy(*by).agg(F.sum("__before").alias("inverted"))
+    out = base.join(inverted, by, "left")
+    every = F.col("n") * (F.col("n") - 1) / 2
+    score = every - F.col("tx") - F.col("ty") + F.col("txy") - 2 * F.coalesce("inverted", F.lit(0))
+    tau = safe_divide(score, F.sqrt((every - F.col("tx")) * (every - F.col("ty"))))
+    return out.select(*by, F.round(F.coalesce(tau, F.lit(0.0)), 6).alias("r"), "n")
 
 
 def correlation_matrix(series: DataFrame, method: str = "pearson") -> DataFrame:

@@ -579,6 +579,27 @@ ORACLE_SQL["correlation_spearman"] = f"""WITH {LEDGER_SQL}, {_PARTS}, j AS (SELE
   SELECT series, round(corr(rx, ry), 6) AS r, count(*) AS n FROM k GROUP BY 1"""
 
 
+@query()
+def correlation_kendall(ledger: DataFrame) -> DataFrame:
+    return series.correlate(_with_revenue(ledger), ["series"], "kendall")
+
+
+ORACLE_SQL["correlation_kendall"] = f"""WITH {LEDGER_SQL}, {_PARTS}, j AS (SELECT series, x, y FROM e JOIN x USING (month))
+  SELECT a.series, round(coalesce(sum(sign(a.x - b.x) * sign(a.y - b.y)) / nullif(sqrt(sum(abs(sign(a.x - b.x)))) * sqrt(sum(abs(sign(a.y - b.y)))), 0), 0), 6) AS r, CAST(sqrt(count(*)) AS BIGINT) AS n FROM j a JOIN j b ON a.series = b.series GROUP BY 1"""
+
+
+def _lines_by_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantity and discount of every line, by the first digit of its part: thousands of rows with many ties."""
+    (line,) = tables(spark, sf_dir, "lineitem")
+    return line.select((F.col("l_partkey") % 5).alias("part"), F.col("l_quantity").alias("x"), F.col("l_discount").alias("y"))
+
+
+@query("""WITH c AS (SELECT l_partkey % 5 AS part, l_quantity AS x, l_discount AS y, count(*) AS k FROM lineitem GROUP BY 1, 2, 3)
+  SELECT a.part, round(sum(a.k * b.k * sign(a.x - b.x) * sign(a.y - b.y)) / (sqrt(sum(a.k * b.k * abs(sign(a.x - b.x)))) * sqrt(sum(a.k * b.k * abs(sign(a.y - b.y))))), 6) AS r, CAST(round(sqrt(sum(a.k * b.k))) AS BIGINT) AS n FROM c a JOIN c b ON a.part = b.part GROUP BY 1""", ledger=False)
+def kendall_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.correlate(_lines_by_part(spark, sf_dir), ["part"], "kendall")
+
+
 def _with_revenue(ledger: DataFrame) -> DataFrame:
     return analysis.with_revenue(analysis.driver_series(ledger.where(structure.prefix("4", "5"))).persist())
 
@@ -649,6 +670,26 @@ def arch_effects(ledger: DataFrame) -> DataFrame:
     return volatility.arch_effects(series.monthly(ledger, "type"))
 
 
+def _arch_sql(lags: int = 5) -> str:
+    """LM and F by making each lag orthogonal to those before it, one after the other."""
+    ks = range(1, lags + 1)
+    steps = [f"e AS (SELECT type AS series, month, n, v AS y FROM (SELECT series AS type, month, count(*) OVER w AS n, power(value - avg(value) OVER w, 2) AS v FROM ({_MONTHLY}) WINDOW w AS (PARTITION BY series)) WHERE n >= {lags + 10})"]
+    steps.append("g AS (SELECT series, n, y, " + ", ".join(f"lag(y, {k}) OVER w AS x{k}" for k in ks) + " FROM e WINDOW w AS (PARTITION BY series ORDER BY month))")
+    steps.append(f"o0 AS (SELECT series, n, y - avg(y) OVER w AS y, " + ", ".join(f"x{k} - avg(x{k}) OVER w AS x{k}" for k in ks) + f", y - avg(y) OVER w AS whole FROM g WHERE x{lags} IS NOT NULL WINDOW w AS (PARTITION BY series))")
+    for k in ks:  # what the k-th lag explains is taken from all later lags and from y
+        take = lambda c, k=k: f"{c} - x{k} * (sum({c} * x{k}) OVER w / sum(x{k} * x{k}) OVER w) AS {c}"
+        steps.append(f"o{k} AS (SELECT series, n, whole, {', '.join([take('y'), *(take(f'x{j}') for j in range(k + 1, lags + 1))])} FROM o{k - 1} WINDOW w AS (PARTITION BY series))")
+    return f"WITH {LEDGER_SQL}, {', '.join(steps)} SELECT series, round(m * r2, 6) AS lm, round((r2 / {lags}) / ((1 - r2) / (m - {lags + 1})), 6) AS f, n FROM (SELECT series, max(n) AS n, count(*) AS m, 1 - sum(y * y) / sum(whole * whole) AS r2 FROM o{lags} GROUP BY 1)"
+
+
+@query()
+def arch_statistics(ledger: DataFrame) -> DataFrame:
+    return volatility.arch_effects(series.monthly(ledger, "type")).select("series", "lm", "f", "n")
+
+
+ORACLE_SQL["arch_statistics"] = _arch_sql()
+
+
 @query()
 def garch_forecast(ledger: DataFrame) -> DataFrame:
     return volatility.forecast(volatility.fit(series.monthly(ledger, "type")), 6)

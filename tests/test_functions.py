@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomledger.functions import distributions, fiscal, values
+from loomledger.functions import fiscal, tails, values
 from loomledger.operators import aggregate, filters, registry, series, structure, volatility
 from loomledger.plans import compiler
 from loomledger.plans.spec import Intent, QuerySpec
@@ -209,13 +209,26 @@ def test_daily_and_sessions_on_a_stream(spark, tmp_path):
     assert table(got) == table(events.sessions(df).collect()) and sorted(r.n for r in got) == [1, 1, 2]
 
 
-def test_distributions():
+def test_tails(spark):
     """Table values of the t, F and chi-square distributions."""
-    assert distributions.t_two_sided(2.228, 10) == pytest.approx(0.05, abs=2e-4)
-    assert distributions.t_quantile(0.975, 10) == pytest.approx(2.2281, abs=1e-3)
-    assert distributions.f_upper(3.33, 5, 10) == pytest.approx(0.05, abs=5e-4)
-    assert distributions.chi2_upper(11.07, 5) == pytest.approx(0.05, abs=2e-4)
-    assert distributions.correlation_p(0.632, 10) == pytest.approx(0.05, abs=1e-3) and distributions.correlation_p(1.0, 5) == 0
+    cases = {
+        "t": (tails.t_two_sided(F.lit(2.228), F.lit(10)), 0.05, 2e-4),
+        "t1": (tails.t_two_sided(F.lit(1.0), F.lit(1)), 0.5, 1e-11),
+        "far": (tails.t_two_sided(F.lit(0.01), F.lit(4000)), 0.992022, 1e-5),
+        "q10": (tails.t_quantile(F.lit(10)), 2.228139, 1e-5),
+        "q1": (tails.t_quantile(F.lit(1)), 12.706205, 1e-3),
+        "q500": (tails.t_quantile(F.lit(500)), 1.964720, 1e-5),
+        "f": (tails.f_upper(F.lit(3.33), F.lit(5), F.lit(10)), 0.05, 5e-4),
+        "chi": (tails.chi2_upper(F.lit(11.0705), 5), 0.05, 1e-5),
+        "chi10": (tails.chi2_upper(F.lit(18.307), 10), 0.05, 1e-5),
+        "chi far": (tails.chi2_upper(F.lit(280.0), 5), 0.0, 1e-12),
+        "r": (tails.correlation_p(F.lit(0.632), F.lit(10)), 0.05, 1e-3),
+        "one": (tails.correlation_p(F.lit(1.0), F.lit(5)), 0.0, 0.0),
+        "lgamma": (tails.lgamma(F.lit(0.5)), 0.5723649429, 1e-9),
+    }
+    (got,) = spark.range(1).select(*(c.alias(k) for k, (c, _, _) in cases.items())).collect()
+    for k, (_, want, off) in cases.items():
+        assert got[k] == pytest.approx(want, abs=off), k
 
 
 def monthly(spark, **named):
@@ -268,11 +281,45 @@ def simulated_garch(n=1500, omega=0.2, alpha=0.2, beta=0.7, seed=5):
     return np.array(out)
 
 
+def normal_equations(x, lags=5):
+    """LM and F of Engle's test by least squares."""
+    e2 = (x - x.mean()) ** 2
+    y, design = e2[lags:], np.column_stack([np.ones(len(x) - lags), *(e2[lags - k : -k] for k in range(1, lags + 1))])
+    rest = y - design @ np.linalg.lstsq(design, y, rcond=None)[0]
+    r2 = 1 - (rest**2).sum() / ((y - y.mean()) ** 2).sum()
+    return len(y) * r2, (r2 / lags) / ((1 - r2) / (len(y) - lags - 1))
+
+
+def test_arch_effects(spark):
+    garch, noise, flat = simulated_garch(400), np.random.default_rng(2).normal(0, 1, 300), np.ones(40)
+    found = {r.series: r for r in volatility.arch_effects(monthly(spark, garch=garch, noise=noise, flat=flat, short=noise[:14])).collect()}
+    assert set(found) == {"garch", "noise", "flat"} and found["flat"].lm == 0 and found["flat"].lm_p == 1
+    for name, x in (("garch", garch), ("noise", noise)):
+        lm, f = normal_equations(x)
+        assert found[name].lm == pytest.approx(lm, abs=1e-5) and found[name].f == pytest.approx(f, abs=1e-5) and found[name].n == len(x)
+    assert found["garch"].lm_p < 1e-3 < 0.01 < found["noise"].lm_p and found["garch"].f_p < 1e-3
+
+
+def loglik(x, omega, alpha):
+    """Of ARCH(1), what lies before the first value being the mean square."""
+    e2 = (x - x.mean()) ** 2
+    v = omega + alpha * np.concatenate(([e2.mean()], e2[:-1]))
+    return -0.5 * (np.log(2 * np.pi * v) + e2 / v).sum()
+
+
 def test_garch(spark):
     x = simulated_garch()
-    fit = volatility.fit_garch(x)
-    assert fit["alpha"][0] == pytest.approx(0.2, abs=0.08) and fit["persistence"] == pytest.approx(0.9, abs=0.08)
-    assert fit["ljung_box_p"] > 0.01 and volatility.fit_garch(x[:40]) is None
-    assert volatility.arch_test(x)[1] < 1e-6 < 0.01 < volatility.arch_test(np.random.default_rng(2).normal(0, 1, 800))[1]
+    rows = monthly(spark, garch=x, arch=simulated_garch(1200, 0.5, 0.4, 0.0, 8), short=x[:40])
+    found = {r.series: r for r in volatility.fit(rows).collect()}
+    assert set(found) == {"garch", "arch"}
+    fit = found["garch"]
+    assert fit.alpha[0] == pytest.approx(0.2, abs=0.08) and fit.persistence == pytest.approx(0.9, abs=0.08) and fit.omega == pytest.approx(0.2, abs=0.15)
+    assert fit.ljung_box_p > 0.01 and fit.n == 1500 and fit.aic < fit.bic and not any("Pandas" in p for p in [volatility.fit(rows)._jdf.queryExecution().toString()])
+    (arch,) = volatility.fit(rows.where("series = 'arch'"), 1, 0).collect()
+    best = max((loglik(simulated_garch(1200, 0.5, 0.4, 0.0, 8), c, a), a) for c in np.linspace(0.3, 0.9, 61) for a in np.linspace(0, 0.8, 81))
+    assert arch.loglik >= best[0] - 0.01 and arch.alpha[0] == pytest.approx(best[1], abs=0.02) and arch.beta == []
+    assert found["arch"].loglik >= arch.loglik - 0.05
+    (two,) = volatility.fit(rows.where("series = 'arch'"), 2, 0).collect()
+    assert two.loglik >= arch.loglik - 0.05 and len(two.alpha) == 2
     rows = volatility.forecast(spark.createDataFrame([("a", 0.2, 0.9)], "series string, omega double, persistence double"), 3).collect()
     assert [(r.step, r.variance) for r in rows] == [(1, 2.0), (2, 2.0), (3, 2.0)]
