@@ -153,7 +153,7 @@ def aliases(c: Column) -> Column:
     words = F.regexp_extract_all(clean, F.lit(r"\b([a-z]+)\b"), F.lit(1))
     acronym = F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), "")
     none = F.array().cast("array<string>")
-    out = F.array_union(F.array(low, clean), F.filter(F.array_union(F.transform(parts, F.trim), bare), lambda p: F.length(p) > 1))
+    out = F.array_union(F.array(low, clean), F.filter(F.array_union(F.transform(parts, lambda p: F.trim(p)), bare), lambda p: F.length(p) > 1))
     out = F.array_union(out, F.when(F.size(bare) == 2, F.array(F.array_join(bare, " "))).otherwise(none))
     amp = F.array(F.replace(low, F.lit("&"), F.lit(" and ")), F.replace(F.replace(low, F.lit("&"), F.lit("")), F.lit("  "), F.lit(" ")), F.replace(low, F.lit(" & "), F.lit("")))
     out = F.array_union(out, F.when(low.contains("&"), amp).otherwise(none))

@@ -104,6 +104,19 @@ def with_yoy(quarters: DataFrame, extra: list[str] | None = None) -> DataFrame:
     return quarters.withColumn("yoy_frac", F.round(safe_divide(F.col("total") - before, F.abs(before)), 6))
 
 
+def chart_by_day(ledger: DataFrame, least: int = 3) -> DataFrame:
+    """``day, total`` for a line chart; nothing for under ``least`` days."""
+    days = ledger.where("trandate is not null").groupBy(F.col("trandate").alias("day")).agg(total().alias("total"))
+    enough = days.agg((F.count("*") >= least).alias("enough"))  # one row
+    return days.crossJoin(F.broadcast(enough)).where("enough").drop("enough")
+
+
+def chart_quarters(quarters: DataFrame, by: list[str], least: int = 4, compared: int = 8) -> DataFrame:
+    """Quarters of each group that has ``least`` of them, with ``yoy_frac`` where it has ``compared``."""
+    counted = with_yoy(quarters, by).withColumn("__k", F.count("*").over(Window.partitionBy(*by)))
+    return counted.where(F.col("__k") >= least).withColumn("yoy_frac", F.when(F.col("__k") >= compared, F.col("yoy_frac"))).drop("__k")
+
+
 def with_running_total(df: DataFrame, value: str, order: list[str], partition: list[str] | None = None) -> DataFrame:
     w = Window.partitionBy(*(partition or [])).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return df.withColumn("running", F.sum(value).over(w))

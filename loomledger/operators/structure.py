@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import favourable, safe_divide
@@ -31,6 +31,27 @@ def budget_variance(actual: DataFrame, budget: DataFrame, dims: list[str]) -> Da
     return out.withColumn("status", favourable(F.col(dims[-1]), F.col("variance"))) if dims[-1] == "account_number" else out
 
 
+def budget_lines(budget: DataFrame, accounts: DataFrame, periods: DataFrame, when: Column, dims: list[str]) -> DataFrame:
+    """Budget rows ``account_id, period_id, amount`` by columns of both dimensions, for the periods that ``when`` takes.
+
+    Rows of an account or a period that its dimension lacks are left out.  The condition is on periods, which are
+    few: it is met before the join, and reaches a budget partitioned by period as a filter on partitions.
+    """
+    rows = budget.join(periods.where(when), "period_id").join(accounts, "account_id")
+    return rows.groupBy(*map(key, dims)).agg(F.sum("amount").cast("double").alias("budget"), F.count("*").alias("n"))
+
+
+def subsets(members: DataFrame, group: str, owner: str, item: str) -> DataFrame:
+    """``group, owner, within``: pairs of owners of a group, the first one's items all among the second one's.
+
+    Owners meet on the items that they share: of the pairs those are kept that share as many as the first one has.
+    """
+    sized = members.select(group, owner, item).distinct().withColumn("__n", F.count("*").over(Window.partitionBy(group, owner)))
+    other = sized.select(group, F.col(owner).alias("within"), item)
+    shared = sized.join(other, [group, item]).where(F.col(owner) != F.col("within")).groupBy(group, owner, "within").agg(F.count("*").alias("__shared"), F.max("__n").alias("__n"))
+    return shared.where("__shared = __n").select(group, owner, "within")
+
+
 def budget_by(budget: DataFrame, dims: list[str], label: str = "account_name") -> DataFrame:
     """Budget per department, account or both, with the greatest label of each group."""
     return budget.groupBy(*map(key, dims)).agg(F.sum("budget_amount").cast("double").alias("budget"), F.max(label).alias("label"), F.count("*").alias("n"))

@@ -801,3 +801,5 @@ def synthetic_by_account(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 for _name, _sql in ORACLE_SQL.items():
     ORACLE_SQL[_name] = _sql.replace(") , m AS", "), m AS")
+
+from . import catalogue_queries  # noqa: E402, F401  (registers its queries with these)
