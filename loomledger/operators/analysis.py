@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Scratch
 from . import series, volatility
 from .structure import prefix
 
@@ -17,6 +18,11 @@ def driver_series(ledger: DataFrame, name: str | Column = "account_name") -> Dat
     return series.monthly(ledger.where(prefix("4", "5", "6", "7", "8")), F.when(prefix("4"), F.lit(REVENUE)).otherwise(name))
 
 
+def kept(monthly: DataFrame) -> DataFrame:
+    """The monthly sums, accounts times months, as a table of their own: several parts read them, the ledger is read once."""
+    return Scratch(monthly.sparkSession).table(monthly, "monthly")
+
+
 def drivers(monthly: DataFrame, adjust: bool = True, **options) -> DataFrame:
     """``series.revenue_drivers`` of the series of ``driver_series``, with p-values."""
     rows = series.dense(monthly)
@@ -34,9 +40,9 @@ def revenue_analysis(ledger: DataFrame, top_n: int = 10, significance: float = 0
     """The ``top_n`` positive and negative drivers with their lag, r and p, seasonality, ARCH p-value and, for
     significant positive ones, the regression of revenue on them.
 
-    The monthly sums, accounts times months, are kept for the parts; a part that a short series lacks is null.
+    A part that a short series lacks is null.
     """
-    monthly = driver_series(ledger).persist()
+    monthly = kept(driver_series(ledger))
     top = series.ranked_drivers(drivers(monthly), top_n)
     seasonal = series.seasonality_strength(series.decompose(series.dense(monthly))).select("series", F.col("strength").alias("seasonality"))
     arch = volatility.arch_effects(monthly).select("series", F.col("lm_p").alias("arch_p"))

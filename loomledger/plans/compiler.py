@@ -66,7 +66,7 @@ def compile_spec(ledger: DataFrame, spec: QuerySpec, budget: DataFrame | None =
     if spec.intent is Intent.RATIO:
         return structure.margins(_both_sides(ledger, spec), dims)
     if spec.intent in (Intent.CORRELATION, Intent.REGRESSION):
-        monthly = analysis.driver_series(_both_sides(ledger, spec)).persist()
+        monthly = analysis.kept(analysis.driver_series(_both_sides(ledger, spec)))
         if spec.intent is Intent.REGRESSION:
             return series.regression(analysis.with_revenue(monthly), ["series"])
         return analysis.drivers(monthly)

@@ -601,12 +601,12 @@ def kendall_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _with_revenue(ledger: DataFrame) -> DataFrame:
-    return analysis.with_revenue(analysis.driver_series(ledger.where(structure.prefix("4", "5"))).persist())
+    return analysis.with_revenue(analysis.kept(analysis.driver_series(ledger.where(structure.prefix("4", "5")))))
 
 
 @query()
 def revenue_drivers(ledger: DataFrame) -> DataFrame:
-    return analysis.drivers(analysis.driver_series(ledger).persist())
+    return analysis.drivers(analysis.kept(analysis.driver_series(ledger)))
 
 
 @query()
@@ -625,7 +625,7 @@ def _drivers_sql(where: str, tail: str) -> str:
 
 @query()
 def drivers_ranked(ledger: DataFrame) -> DataFrame:
-    found = analysis.drivers(analysis.driver_series(ledger).persist(), adjust=False)
+    found = analysis.drivers(analysis.kept(analysis.driver_series(ledger)), adjust=False)
     return series.ranked_drivers(found, 5).select("series", "expense_lag_after_revenue", "r", "n", "direction", "rank")
 
 
