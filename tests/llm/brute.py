@@ -10,7 +10,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def near_duplicates(docs):
+def near_duplicates(docs, percent=85):
     """doc_id -> (n_shingles, component_id, kept)"""
     sets = {}
     for d, t in docs:
@@ -33,7 +33,7 @@ def near_duplicates(docs):
             for b in ds[:i]:
                 common[min(a, b), max(a, b)] += 1
     for (a, b), n in common.items():
-        if 100 * n >= 85 * (len(sets[a]) + len(sets[b]) - n):
+        if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
             a, b = sorted((find(a), find(b)))
             parent[b] = a
     return {d: (len(s), find(d), find(d) == d) for d, s in sets.items()}
@@ -51,6 +51,35 @@ def base_quality(text):
     return (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(repeat), len(w) < 10 or 100 * len(repeat) > 20 * len(w))
 
 
+def quality(text):
+    """(clean_text, kept) by the line rules, in Python's own strings and patterns."""
+    import unicodedata
+
+    import regex
+
+    from loomledger.llm import quality as rules
+
+    text, limits = text or "", rules.QualityRules()
+    ascii_only = lambda p: p.replace(r"\s", r"[ \t\n\x0b\f\r]").replace(r"\S", r"[^ \t\n\x0b\f\r]").replace(r"\d", "[0-9]")
+    structure, terminal = regex.compile(ascii_only(rules.STRUCTURE)), regex.compile(ascii_only(rules.TERMINAL))
+    phrase = regex.compile(r"(?<![\p{L}\p{N}_])(?:" + "|".join(map(regex.escape, rules.BOILERPLATE)) + r")(?![\p{L}\p{N}_])")
+
+    def stays(line):
+        n, low = len(WORD.findall(line)), line.lower()
+        if n <= limits.boilerplate_words and (phrase.search(low) or structure.search(low)):
+            return False
+        if not n:
+            return True
+        marks, symbols = (sum(c in some for c in line) for some in (rules.SEPARATORS, rules.SYMBOLS))
+        kinds = [unicodedata.category(c) for c in line]
+        shouted = "!!" in line and 2 * kinds.count("Lu") > sum(k[0] == "L" for k in kinds)
+        return not (n < limits.short_line and not terminal.search(line) or marks >= 3 and marks * 12 >= n or marks * 3 >= n or symbols * 4 > n or shouted)
+
+    clean = "\n".join(line for line in text.split("\n") if stays(line))
+    failed = base_quality(text)[-1]
+    return clean, not failed and 100 * (len(text) - len(clean)) <= limits.max_lost_pct * len(text) and clean.strip(" ") != ""
+
+
 def repeats(docs, length=400):
     """doc_id -> (n_bytes, n_removed, n_spans, kept_sha256)"""
     data = [(d, (t or "").encode()) for d, t in docs]

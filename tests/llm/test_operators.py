@@ -94,6 +94,14 @@ def test_quality_base(spark, docs):
     assert got == {d: brute.base_quality(t) for d, t in docs}
 
 
+def test_quality_verdicts_against_plain_rules(spark, docs):
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    rows = docs + [(10_000 + k, t) for k, t in table]
+    got = by_id(quality.clean(frame(spark, rows)), "clean_text", "kept")
+    want = {d: brute.quality(t) for d, t in rows}
+    assert got == want and 0 < sum(k for _, k in want.values()) < len(want)
+
+
 def test_quality_lines(spark):
     good = "The council met on Tuesday and agreed to repair the old bridge before winter comes."
     other = "Traffic will use the ferry until the first lorries can cross in March."
