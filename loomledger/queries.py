@@ -120,22 +120,29 @@ def classify_accounts(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy(*keys).agg(F.count("*").alias("n"), aggregate.total().alias("total"))
 
 
-@query(
-    """SELECT raw, CAST(amount AS DOUBLE) AS amount FROM (VALUES ('$1,234.50', 1234.50), ('(99.00)', -99.00), ('($1,234.50)', -1234.50), ('abc', 0.00), ('', 0.00), ('12', 12.00)) t(raw, amount)""",
-    ledger=False,
-)
+# Amounts and dates of the lines, written in the forms in which sources write them, and read again.
+_PRICE = "CAST(l_extendedprice AS DECIMAL(18,2))"
+_DAY = "CAST(l_shipdate AS DATE)"
+
+
+@query(f"""SELECT form, count(*) AS n, CAST(sum(CASE form WHEN 1 THEN {_PRICE} WHEN 2 THEN -{_PRICE} WHEN 3 THEN -{_PRICE} WHEN 4 THEN {_PRICE} ELSE 0 END) AS DOUBLE) AS total FROM (SELECT l_extendedprice, CAST(l_orderkey % 6 AS INTEGER) AS form FROM lineitem) GROUP BY 1""", ledger=False)
 def parse_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(x,) for x in ("$1,234.50", "(99.00)", "($1,234.50)", "abc", "", "12")], "raw string")
-    return rows.select("raw", values.parse_amount(F.col("raw")).cast("double").alias("amount"))
+    (line,) = tables(spark, sf_dir, "lineitem")
+    price, form = F.col("l_extendedprice").cast("decimal(18,2)"), (F.col("l_orderkey") % 6).cast("int")
+    text = F.format_number(price, 2)  # thousands by commas
+    raw = F.when(form == 1, F.concat(F.lit("$"), text)).when(form == 2, F.concat(F.lit("("), text, F.lit(")"))).when(form == 3, F.concat(F.lit(" ($"), text, F.lit(") "))).when(form == 4, price.cast("string")).when(form == 5, "n/a").otherwise("")
+    return line.select(form.alias("form"), values.parse_amount(raw).alias("amount")).groupBy("form").agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("total"))
 
 
-@query(
-    """SELECT raw, day FROM (VALUES ('2/13/2025', '2025-02-13'), ('2025-02-13', '2025-02-13'), ('13/2/2025', '2025-02-13'), ('2025-02-13T10:00:00', '2025-02-13'), ('no date', NULL)) t(raw, day)""",
-    ledger=False,
-)
+# Of day and month that could be either, month first is read; so in the day-first form days up to the 12th change places.
+@query(f"""SELECT CAST(day AS VARCHAR) AS day, count(*) AS n FROM (SELECT CASE WHEN form = 2 AND day(d) <= 12 THEN make_date(year(d), day(d), month(d)) WHEN form < 6 THEN d END AS day FROM (SELECT {_DAY} AS d, CAST(l_orderkey % 7 AS INTEGER) AS form FROM lineitem)) GROUP BY 1""", ledger=False)
 def parse_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(x,) for x in ("2/13/2025", "2025-02-13", "13/2/2025", "2025-02-13T10:00:00", "no date")], "raw string")
-    return rows.select("raw", values.parse_date(F.col("raw")).alias("day"))
+    (line,) = tables(spark, sf_dir, "lineitem")
+    day, form = F.col("l_shipdate").cast("date"), (F.col("l_orderkey") % 7).cast("int")
+    raw = F.lit("no date")
+    for k, pattern in enumerate(("M/d/yyyy", "yyyy-MM-dd", "d/M/yyyy", "yyyy/M/d", "MMM d, yyyy", "yyyy-MM-dd'T'10:00:00")):
+        raw = F.when(form == k, F.date_format(day, pattern.replace("10:00:00", "HH:mm:ss"))).otherwise(raw)
+    return line.select(values.parse_date(raw).alias("day")).groupBy("day").agg(F.count("*").alias("n"))
 
 
 # Aggregation.
@@ -796,7 +803,8 @@ def last_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(ledger=False)
 def synthetic_by_account(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aggregate.group(canonical(synthetic_ledger(spark, 5000)), ["account_number"])
+    """A synthetic ledger with a row for each line of the tables."""
+    return aggregate.group(canonical(synthetic_ledger(spark, tables(spark, sf_dir, "lineitem")[0].count())), ["account_number"])
 
 
 for _name, _sql in ORACLE_SQL.items():

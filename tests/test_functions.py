@@ -29,6 +29,13 @@ def test_formats(spark):
     assert column(spark, "double", [1.5, 0.0], values.format_ratio) == ["1.50x", "0.00x"]
 
 
+def test_amounts_and_dates(spark):
+    amounts = column(spark, "string", ["$1,234.50", "(99.00)", "($1,234.50)", "abc", "", "12", None], values.parse_amount)
+    assert list(map(float, amounts)) == [1234.5, -99.0, -1234.5, 0.0, 0.0, 12.0, 0.0]
+    days = column(spark, "string", ["2/13/2025", "2025-02-13", "13/2/2025", "2025-02-13T10:00:00", "no date", "Feb 13, 2025", None], values.parse_date)
+    assert list(map(str, days)) == ["2025-02-13"] * 4 + ["None", "2025-02-13", "None"]
+
+
 def test_safe_divide_and_tolerance(spark):
     rows = spark.createDataFrame([(1.0, 0.0), (1.0, 4.0), (None, 2.0)], "a double, b double")
     assert [r[0] for r in rows.select(values.safe_divide(F.col("a"), F.col("b"))).collect()] == [None, 0.25, None]
