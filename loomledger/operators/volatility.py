@@ -87,18 +87,24 @@ def fit(series: DataFrame, p: int = 1, q: int = 1, rounds: int = 18) -> DataFram
     by = by.withColumn("e2", F.transform("x", lambda v: F.pow((v - F.col("mu")) / F.col("sd"), 2))).drop("x")
 
     def best(candidates: Column) -> Column:
-        scored = F.transform(F.filter(candidates, lambda w: F.aggregate(F.slice(w, 2, dims - 1), F.lit(0.0), lambda a, b: a + b) < 0.9999), lambda w: F.struct(_variances(F.col("e2"), w, p, q)[0].alias("loss"), w.alias("par")))
+        total = lambda w: F.aggregate(F.slice(w, 2, dims - 1), F.lit(0.0), lambda a, b: a + b)
+        scored = F.transform(F.filter(candidates, lambda w: total(w) < 0.9999), lambda w: F.struct(_variances(F.col("e2"), w, p, q)[0].alias("loss"), w.alias("par")))
         return F.array_min(F.filter(scored, lambda s: ~F.isnan(s["loss"])))
 
-    first = F.array(*(F.array(*map(F.lit, w)) for w in _grid(p, q, points)))
-    by = by.withColumn("best", best(first))
-    factor, step = (50 ** (1 / (points - 1))), 0.9 / (points - 1)
-    for _ in range(rounds):  # to the neighbours on each side, a little nearer every round
-        factor, step = factor**0.7, step * 0.7
-        moves = [(factor**a, *(step * m for m in move)) for a in (-1, 0, 1) for move in product((-1, 0, 1), repeat=dims - 1)]
-        around = F.transform(F.array(*(F.array(*map(F.lit, m)) for m in moves)), lambda m: F.zip_with(F.col("best.par"), m, lambda a, b: F.greatest(a + b, F.lit(0.0))))
-        scaled = F.transform(F.arrays_zip(around.alias("w"), F.array(*(F.lit(m[0]) for m in moves)).alias("f")), lambda z: F.concat(F.array(F.element_at(F.col("best.par"), 1) * z["f"]), F.slice(z["w"], 2, dims - 1)))
-        by = by.withColumn("best", best(scaled))
+    table = lambda rows: F.expr("array(" + ", ".join("array(" + ", ".join(f"{x!r}D" for x in row) + ")" for row in rows) + ")")
+    moves = table([(float(a), *map(float, move)) for a in (-1, 0, 1) for move in product((-1, 0, 1), repeat=dims - 1)])
+
+    def nearer(s: Column, _: Column) -> Column:
+        """To the best of the neighbours on each side, which come a little nearer every round."""
+
+        def around(m: Column) -> Column:
+            weights = F.zip_with(F.slice(s["best"]["par"], 2, dims - 1), F.slice(m, 2, dims - 1), lambda a, b: F.greatest(a + b * s["step"], F.lit(0.0)))
+            return F.concat(F.array(F.element_at(s["best"]["par"], 1) * F.pow(s["factor"], F.element_at(m, 1))), weights)
+
+        return F.struct(best(F.transform(moves, around)).alias("best"), F.pow(s["factor"], F.lit(0.7)).alias("factor"), (s["step"] * 0.7).alias("step"))
+
+    start = F.struct(best(table(_grid(p, q, points))).alias("best"), F.lit(50 ** (0.7 / (points - 1))).alias("factor"), F.lit(0.63 / (points - 1)).alias("step"))
+    by = by.withColumn("best", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, nearer, lambda s: s["best"]))
     weight = lambda start, length: F.slice("best.par", start, length)
     summed = F.aggregate(F.slice("best.par", 2, dims - 1), F.lit(0.0), lambda a, b: a + b)
     n, k = F.col("n"), 1 + dims
