@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import fiscal, values
-from .operators import aggregate, filters, registry, series, sketches, structure
+from .operators import aggregate, filters, registry, series, sketches, structure, volatility
 from .plans import semantics, spotting
-from .queries import _MONTHLY, _TYPES, FQ_SQL, FY, FY_SQL, ORACLE_SQL, SUM, _days, query
+from .queries import _MONTHLY, _PARTS, _TYPES, FQ_SQL, FY, FY_SQL, ORACLE_SQL, SUM, _days, _with_revenue, query
 from .sources.ledger import LEDGER_SQL, sample_ledger, tables
 from .sources.scratch import Scratch
 from .streaming import upserts
@@ -128,6 +128,28 @@ def sketched_years(ledger: DataFrame) -> DataFrame:
     return merged.join(exact, "fy").crossJoin(F.broadcast(whole)).select("fy", "n", *checks)
 
 
+# p-values of Student's t by the finite sums that whole degrees of freedom allow.
+def _t_sql(t: str, df: str) -> str:
+    """The chance beyond ``t`` on either side, in SQL: other sums than ``tails`` uses."""
+    cos2, angle = f"({df} / ({df} + {t} * {t}))", f"atan(abs({t}) / sqrt({df}))"
+    even = f"sin({angle}) * list_sum(list_transform(range(0, {df} // 2), lambda j: exp(lgamma(j + 0.5) - lgamma(j + 1.0) - 0.5 * ln(pi())) * power({cos2}, j)))"
+    odd = f"2 / pi() * ({angle} + sin({angle}) * cos({angle}) * coalesce(list_sum(list_transform(range(0, ({df} - 1) // 2), lambda j: 0.5 * exp(0.5 * ln(pi()) + lgamma(j + 1.0) - lgamma(j + 1.5)) * power({cos2}, j))), 0))"
+    return f"(1 - CASE WHEN {df} % 2 = 0 THEN {even} ELSE {odd} END)"
+
+
+@query()
+def regression_p_values(ledger: DataFrame) -> DataFrame:
+    """Revenue on each cost series: t, to six places, and its p-value."""
+    fits = volatility.with_inference(series.regression(_with_revenue(ledger), ["series"]))
+    return fits.select("series", F.round("t_value", 4).alias("t_value"), F.round("p_value", 6).alias("p_value"), "n")
+
+
+ORACLE_SQL["regression_p_values"] = f"""WITH {LEDGER_SQL}, {_PARTS}, j AS (SELECT series, x, y FROM e JOIN x USING (month)),
+  f AS (SELECT series, count(*) AS n, regr_slope(y, x) AS b, regr_sxx(y, x) AS sxx, regr_syy(y, x) - regr_sxy(y, x) ** 2 / regr_sxx(y, x) AS sse FROM j GROUP BY 1 HAVING count(*) >= 3 AND regr_sxx(y, x) > 0),
+  g AS (SELECT series, n, n - 2 AS df, round(b / sqrt(sse / (n - 2) / sxx), 6) AS t FROM f)
+  SELECT series, round(t, 4) AS t_value, round({_t_sql("t", "df")}, 6) AS p_value, n FROM g"""
+
+
 # Budgets by the ids of account and period, as a planning system keeps them; both dimensions are tables of their own.
 _MONTH_SQL = "DATE '1990-01-01' + to_months(CAST(period_id AS INTEGER))"
 
