@@ -3,6 +3,7 @@
 import random
 from datetime import date, datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,6 +142,42 @@ def test_range_queries_make_no_product(spark):
         assert no_product(queries.QUERIES[name](spark, SF)), name
 
 
+def test_overlap_counts_are_those_of_all_pairs(spark, monkeypatch):
+    r = random.Random(4)
+    rows = [(r.choice([None, *range(40)]), r.choice([None, *range(60)]), r.choice([0, 0, 0, 1, 3, 50, -1])) for _ in range(400)]
+    rows = [(u, a, None if a is None else a + k) for u, a, k in rows] + [(77, 1000, 1001), (78, 2000, 2000), (78, 2000, 2000)]
+    fine = [x for x in rows if None not in x and x[1] <= x[2]]
+    want = {}
+    for u, a, b in fine:
+        met = [v for v, c, d in fine if v != u and a <= d and c <= b]
+        if met:
+            n, others = want.get(u, (0, set()))
+            want[u] = n + len(met), others | set(met)
+    want = sorted((u, n, len(others)) for u, (n, others) in want.items())
+    df = spark.createDataFrame(rows, "u long, a long, b long")
+    for blocks in (1, 3):
+        monkeypatch.setattr(ranges, "BLOCKS", blocks)
+        got = ranges.overlap_counts(df, "u", ("a", "b"))
+        assert sorted(map(tuple, got.collect())) == want
+    assert "Join" not in physical(got)  # no row per pair
+    assert ranges.overlap_counts(df.limit(0), "u", ("a", "b")).collect() == []
+    # The same in one block, some rows and pairs at a time, whether its groups are one or two.
+    monkeypatch.setattr(ranges, "PAIRS", 7)
+    fine.sort(key=lambda x: x[1])
+    for alone in (True, False):
+        block, sides = ranges._Block(alone), np.array([0 if alone else u % 2 for u, _, _ in fine])
+        columns = [np.array(c) for c in zip(*fine)]
+        for k in range(0, len(fine), 11):
+            block.add(sides[k : k + 11], *(c[k : k + 11] for c in columns))
+        met = lambda u, v: u != v if alone else u % 2 != v % 2
+        plain = {u: (sum(met(u, v) and x == u and a <= d and c <= b for x, a, b in fine for v, c, d in fine), len({v for x, a, b in fine if x == u for v, c, d in fine if met(u, v) and a <= d and c <= b})) for u in set(columns[0].tolist())}
+        assert {u: (n, k) for u, n, k in zip(*(x.tolist() for x in block.counts()))} == plain
+
+
+def test_sessions_beside_others_make_no_row_per_pair(spark):
+    assert "Join" not in physical(queries.QUERIES["session_overlaps"](spark, SF))
+
+
 def test_longest_prefix(spark):
     r = random.Random(9)
     digits = lambda k: "".join(r.choice("0123") for _ in range(k))
