@@ -97,8 +97,8 @@ def terms_in_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each term occurs where no longer one covers it, and in how many conversations."""
     (talk,) = tables(spark, sf_dir, "conversations")
     said = spotting.words(F.col("text"))
-    opening = lambda k: talk.select(F.array_join(F.slice(said, 1, k), " ").alias("term"))
-    terms = opening(2).union(opening(4)).union(semantics.dictionary(spark).select("term")).distinct()
+    openings = talk.select(said.alias("said")).select(F.explode(F.array(*(F.array_join(F.slice("said", 1, k), " ") for k in (2, 4)))).alias("term"))
+    terms = openings.union(semantics.dictionary(spark).select("term")).distinct()
     found = spotting.spot(talk.select("conv_id", "turn", "text"), terms)
     return found.groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("conv_id").alias("conversations"))
 

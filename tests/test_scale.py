@@ -264,6 +264,16 @@ def test_spotting_takes_the_longest(spark):
     assert no_product(got)
 
 
+def test_terms_that_begin_alike_meet_only_their_own_places(spark):
+    texts = spark.createDataFrame([(k, f"the w{k} x") for k in range(300)] + [(900, "(the) w7, y")], "k long, text string")
+    terms = texts.where("k < 900").select(F.array_join(F.slice(spotting.words(F.col("text")), 1, 2), " ").alias("term"))
+    got = spotting.spot(texts, terms)
+    assert sorted((x.k, x.term, x.at) for x in got.collect()) == [*((k, f"the w{k}", 0) for k in range(300)), (900, "the w7", 0)]
+    assert got.columns == ["k", "term", "at", "n_words"]
+    (join,) = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert "said" in join and "first" not in join  # by all words, not by the first with the others compared afterwards
+
+
 # Sketches.
 def test_sketches_merge_and_refresh(spark):
     rows = spark.range(40_000).select((F.lit(date(2024, 1, 1)) + (F.col("id") % 20).cast("int")).alias("day"), (F.col("id") % 9000).alias("user"), (F.col("id") * 7919 % 40_000).cast("double").alias("x"))
