@@ -308,6 +308,19 @@ def test_kendall(spark):
     assert plan.first().r == -1.0 and no_product(plan)
 
 
+def test_kendall_sorts_different_pairs_of_values_only(spark):
+    rows = spark.range(0, 20_000, 1, 4).select(F.lit("a").alias("g"), (F.col("id") % 7).alias("x"), (F.col("id") % 7 * 3 % 5).alias("y"))
+    got = series.correlate(rows, ["g"], "kendall")
+    sign = lambda x: (x > 0) - (x < 0)
+    k = {(x, x * 3 % 5): sum(i % 7 == x for i in range(20_000)) for x in range(7)}
+    s, nx, ny = (sum(n * m * f(a, b) for a, n in k.items() for b, m in k.items()) for f in (lambda a, b: sign(a[0] - b[0]) * sign(a[1] - b[1]), lambda a, b: a[0] != b[0], lambda a, b: a[1] != b[1]))
+    assert [tuple(x) for x in got.collect()] == [("a", round(s / (nx * ny) ** 0.5, 6), 20_000)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    windows = [i for i, line in enumerate(plan) if "Window" in line]
+    assert windows and all(any("Aggregate" in line and depth(line) > depth(plan[i]) for line in plan[i + 1 :]) for i in windows)
+
+
 # Dimensions and sets.
 def test_budget_lines_and_subsets(spark):
     budget = spark.createDataFrame([(1, 10, 5.0), (1, 11, 7.0), (2, 10, 1.0), (3, 10, 9.0), (1, 99, 4.0)], "account_id long, period_id long, amount double")
@@ -319,6 +332,18 @@ def test_budget_lines_and_subsets(spark):
     assert sorted(map(tuple, structure.subsets(members, "g", "o", "i").collect())) == [("g", "a", "b"), ("g", "a", "d"), ("g", "b", "d"), ("g", "d", "b")]
 
 
+def test_subsets_meet_on_one_item_of_each(spark):
+    r = random.Random(12)
+    rows = [(r.choice("gh"), k % 60, r.choice([1, 1, 2, 3, 4])) for k in range(200)] + [("g", 70, None), ("g", 70, 1), ("g", 71, None), (None, 72, 1), (None, 73, 1)]
+    sets = {}
+    for g, o, i in rows:
+        sets.setdefault((g, o), set()).add(i)
+    want = sorted((g, o, p) for (g, o), x in sets.items() for (h, p), y in sets.items() if g and g == h and o != p and None not in x and x <= y)
+    got = structure.subsets(spark.createDataFrame(rows, "g string, o long, i long"), "g", "o", "i")
+    assert sorted(map(tuple, got.collect())) == want
+    assert "Window" not in physical(got) and no_product(got)
+
+
 # Streams.
 def at(text):
     return datetime.fromisoformat(f"2025-01-{text}")
