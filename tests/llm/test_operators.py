@@ -541,3 +541,14 @@ def test_captures_with_clashing_columns_and_ties(spark, tmp_path):
     out = warc.assemble(warc.read_records(spark, str(tmp_path / "warc"))).collect()
     got = {int(r.metadata["page_id"]): (r.record_type, int(r.original["page_id"]) if r.original and r.original["page_id"] else None) for r in out}
     assert got == {p: ("revisit", 3) if p in (5, 9) else ("response", None) for p, *_ in pages}
+
+
+def test_line_dedup_pairs_of_a_crowded_key_only(spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(7))
+    passage = " ".join(word() for _ in range(20))
+    long = [passage + " " + " ".join(word() for _ in range(30)) for _ in range(500)]
+    short = [f"{passage} {word()} {word()}" for _ in range(2)]  # similar to each other, to no long one; all that they share all have
+    rows = list(enumerate(long + short))
+    got = {x.doc_id: x.n_removed for x in lines.dedup_lines(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: int(k == 501) for k in range(502)}
