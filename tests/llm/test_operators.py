@@ -552,3 +552,41 @@ def test_line_dedup_pairs_of_a_crowded_key_only(spark):
     rows = list(enumerate(long + short))
     got = {x.doc_id: x.n_removed for x in lines.dedup_lines(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {k: int(k == 501) for k in range(502)}
+
+
+@pytest.mark.parametrize("block", [256, 40])
+def test_line_dedup_makes_no_rows_of_a_crowded_keys_pairs(spark, monkeypatch, block):
+    """400 lines with one passage in common: no table grows with their square, and near copies among them are still found."""
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(2000)]
+    text = {k: "passage in common of all " + " ".join(r.choice(words) for _ in range(r.choice([6, 9, 14]))) for k in range(400)}
+    text |= {400 + k: text[k][:-1] + "0" for k in range(0, 400, 50)}
+    made, table = [], Workspace.table
+
+    def counted(ws, df, name):
+        out = table(ws, df, name)
+        made.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(Workspace, "table", counted)
+    monkeypatch.setattr(lines, "BLOCK_LINES", block)
+    got = {x.doc_id: x.n_removed for x in lines.dedup_lines(spark, spark.createDataFrame(list(text.items()), "doc_id long, text string")).collect()}
+    assert {k for k, n in got.items() if n} == {k for k in text if k >= 400}
+    assert max(n for _, n in made) < 20 * len(text), made
+
+
+def test_bounded_edit_distances():
+    """With a bound, distances up to it are exact and the others are over it, whatever the lengths."""
+    r = random.Random(2)
+    left, right = [], []
+    for _ in range(300):
+        x = [r.choice("abcdef ") for _ in range(r.choice([0, 1, 30, 63, 64, 65, 128, 129, 300]))]
+        y = list(x)
+        for _ in range(r.randrange(len(x) // 3 + 3)):
+            y[(p := r.randrange(len(y) + 1)) : p + r.randrange(2)] = r.choice(["", "a", "f"])
+        left.append("".join(x)), right.append("".join(y))
+    exact = np.array([brute.edit_distance(x, y) for x, y in zip(left, right)])
+    for share in (0.05, 0.2, 0.5):
+        allowed = lines.allowed_edits(np.array([max(len(x), len(y)) for x, y in zip(left, right)]), 1 - share)
+        got = lines.edit_distances(left, right, allowed)
+        assert ((got <= allowed) == (exact <= allowed)).all() and (got[exact <= allowed] == exact[exact <= allowed]).all()
