@@ -590,3 +590,26 @@ def test_bounded_edit_distances():
         allowed = lines.allowed_edits(np.array([max(len(x), len(y)) for x, y in zip(left, right)]), 1 - share)
         got = lines.edit_distances(left, right, allowed)
         assert ((got <= allowed) == (exact <= allowed)).all() and (got[exact <= allowed] == exact[exact <= allowed]).all()
+
+
+def test_unlike_lines_are_ruled_out_together(monkeypatch):
+    """Few pairs of unlike lines with a passage in common are looked at one by one, and the answers are those of plain distances."""
+    r, left, right = random.Random(4), [], []
+    for k in range(900):
+        passage, x, y = prose(4, k % 7), prose(25 + k % 9, 3 * k), prose(25 + k % 9, 3 * k + 1)
+        if k % 30 == 0:
+            y = "".join(c if r.random() > k / 3000 else r.choice("é中x ") for c in x)
+        left.append(f"{passage} {x}"), right.append(f"{passage} {y}")
+    looked, one = [], lines.are_similar
+    monkeypatch.setattr(lines, "are_similar", lambda *pair: looked.append(pair) or one(*pair))
+    got = lines.similar_pairs(left, right, 0.8).tolist()
+    assert got == [brute.edit_distance(x, y) <= int(max(len(x), len(y)) * 0.2 + 1e-9) for x, y in zip(left, right)]
+    assert sum(got) >= 10 and len(looked) < 300
+
+
+def test_distances_of_long_lines():
+    r = random.Random(6)
+    x = "".join(r.choice("abcdefgh ") for _ in range(30_000))
+    y = x[:100] + "changed" + x[100:15_000] + x[15_020:]
+    assert lines.edit_distance(x, y, 6_000) == 27 and lines.are_similar(x, y, 0.8)
+    assert lines.edit_distance(x, x[::-1], 3_000) > 3_000 and not lines.are_similar(x, x[::-1], 0.8)
