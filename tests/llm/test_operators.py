@@ -2,11 +2,13 @@
 
 import hashlib
 import random
+import uuid
 import zlib
 
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -613,3 +615,68 @@ def test_distances_of_long_lines():
     y = x[:100] + "changed" + x[100:15_000] + x[15_020:]
     assert lines.edit_distance(x, y, 6_000) == 27 and lines.are_similar(x, y, 0.8)
     assert lines.edit_distance(x, x[::-1], 3_000) > 3_000 and not lines.are_similar(x, x[::-1], 0.8)
+
+
+def test_line_dedup_shuffles_a_bounded_share_at_a_time(spark, monkeypatch, tmp_path):
+    """Blocks of a crowded key's texts go to tasks in rounds of about half of the corpus, rows of keys in slices; the result is the same."""
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    text = {k: "passage in common of all " + " ".join(word() for _ in range(r.choice([6, 9, 14]))) for k in range(400)}
+    text |= {400 + k: text[k][:-1] + "0" for k in range(0, 400, 20)}
+    rounds, shared, table, compare = [], [], Workspace.table, lines._compare_blocks
+
+    def weighed(similarity):
+        def run(batches):
+            batches = list(batches)
+            n = sum(len(x) for b in batches for x in b.column(7).to_pylist())
+            (tmp_path / uuid.uuid4().hex).write_text(str(n))
+            return compare(similarity)(iter(batches))
+
+        return run
+
+    def noted(ws, df, name):
+        out = table(ws, df, name)
+        if name == "shared":
+            shared.append(out.count())
+        if found := list(tmp_path.iterdir()):
+            rounds.append(sum(int(x.read_text()) for x in found))
+            for x in found:
+                x.unlink()
+        return out
+
+    monkeypatch.setattr(Workspace, "table", noted)
+    monkeypatch.setattr(lines, "_compare_blocks", weighed)
+    monkeypatch.setattr(lines, "BLOCK_LINES", 20)
+    monkeypatch.setattr(lines, "ROUND_CHARS", 1, raising=False)
+    got = {x.doc_id: x.n_removed for x in lines.dedup_lines(spark, spark.createDataFrame(list(text.items()), "doc_id long, text string")).collect()}
+    assert {k for k, n in got.items() if n} == {k for k in text if k >= 400}
+    assert len(rounds) > 3 and max(rounds) < 1.5 * sum(map(len, text.values())), rounds
+    assert len(shared) > 1 and max(shared) < 0.8 * sum(shared), shared
+
+
+@pytest.mark.parametrize("letters", ["abcdefghij ", "".join(map(chr, range(0x430, 0x4B0))) + " "])
+def test_near_lines_are_settled_together(monkeypatch, letters):
+    """Of pairs of which half are near, few are looked at one by one, unless they have more different characters than there are kinds."""
+    r, left, right = random.Random(8), [], []
+    for k in range(300):
+        x = [r.choice(letters) for _ in range(150 + k % 40)]
+        y = list(x)
+        for _ in range(r.randrange(80)):
+            y[(p := r.randrange(len(y) + 1)) : p + r.randrange(2)] = r.choice(["", letters[0], letters[1]])
+        left.append("".join(x)), right.append("".join(y))
+    want = [brute.edit_distance(x, y) <= int(max(len(x), len(y)) * 0.2 + 1e-9) for x, y in zip(left, right)]
+    looked, one = [], lines.are_similar
+    monkeypatch.setattr(lines, "are_similar", lambda *pair: looked.append(pair) or one(*pair))
+    assert lines.similar_pairs(left, right, 0.8).tolist() == want
+    assert 75 < sum(want) < 225 and (len(looked) < 64 or len(letters) > lines.KINDS)
+
+
+def test_near_copies_of_a_crowded_key_give_few_links():
+    """150 lines, each near to all others: no more links than lines, and these join them all."""
+    r = random.Random(9)
+    base = [r.choice("abcdefghij") for _ in range(200)]
+    norms = ["".join("z" if k <= j < k + 20 else c for j, c in enumerate(base)) for k in range(150)]
+    rows = [(1, 0, 0, k, k, len(x), 0, x) for k, x in enumerate(norms)]
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], ["key", "pair", "side", "h", "root", "chars", "spot", "norm"])
+    links = [x for b in lines._compare_blocks(0.8)(iter([batch])) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    assert len(links) == len(norms) - 1 and len({x for pair in links for x in pair}) == len(norms)
